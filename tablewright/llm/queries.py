@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, mixing, ngramjoin, toxicity
+from . import bpe, linededup, mixing, ngramjoin, suffixdedup, tokencount, toxicity, warc
 from ._shared import table
 
 #: ASCII lower case, ASCII punctuation and white space as blanks: how n-gram joins see a text.
@@ -18,10 +18,22 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_warc(spark, sf_dir):
+    return warc.reassemble(warc.page_records(table(spark, sf_dir, "pages")))
+
+
 def op4_line_dedup(spark, sf_dir):
     return linededup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffixdedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark, sf_dir):
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -30,9 +42,32 @@ def op10_ngram_jaccard(spark, sf_dir):
     return ngramjoin.similar_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op4_line_dedup, op8_mixing, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_warc, op4_line_dedup, op5_suffix_dedup, op6_token_counts, op8_mixing, op10_ngram_jaccard)}
 
 ORACLES = {
+    # a page's HTTP message: 92 bytes of head and last chunk, 7 for the framing of a full chunk of 2048 bytes
+    "op3_warc": r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+q AS (SELECT *, 92 + n + 7 * (n // 2048) + CASE WHEN n % 2048 = 0 THEN 0 ELSE 4 + length(format('{:x}', n % 2048)) END AS total FROM p)
+SELECT '<urn:page:' || page_id || '>' AS record_id, url AS target_uri, CAST(ceil(total / 8192) AS INTEGER) AS n_segments,
+       CAST(total AS BIGINT) AS total_length, 'ok' AS status, html AS payload FROM q""",
+    "op5_suffix_dedup": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(text, '[\x09-\x0d\x1c-\x1f ]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL
+), i AS (
+  SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM w WHERE len(w) >= 50
+), v AS (
+  SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS v FROM i
+), r AS (
+  SELECT v FROM v GROUP BY v HAVING count(DISTINCT doc_id) > 1
+), h AS (
+  SELECT DISTINCT doc_id, i FROM v SEMI JOIN r USING (v)
+), s AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM h
+), g AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS isle FROM s
+)
+SELECT doc_id, min(i) AS first_word, max(i) + 50 AS end_word FROM g GROUP BY doc_id, isle""",
     "op4_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents
