@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, mixing, ngramjoin, suffixdedup, tokencount, toxicity, warc
+from . import ann, bpe, linededup, mixing, ngramjoin, suffixdedup, tokencount, topk, toxicity, warc
 from ._shared import table
 
 #: ASCII lower case, ASCII punctuation and white space as blanks: how n-gram joins see a text.
@@ -34,15 +34,23 @@ def op6_token_counts(spark, sf_dir):
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_top_k(spark, sf_dir):
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_ann(spark, sf_dir):
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_jaccard(spark, sf_dir):
     return ngramjoin.similar_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_warc, op4_line_dedup, op5_suffix_dedup, op6_token_counts, op8_mixing, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_warc, op4_line_dedup, op5_suffix_dedup, op6_token_counts, op7_exact_top_k, op8_mixing, op9_ann, op10_ngram_jaccard)}
 
 ORACLES = {
     # a page's HTTP message: 92 bytes of head and last chunk, 7 for the framing of a full chunk of 2048 bytes
@@ -79,6 +87,16 @@ WITH l AS (
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE stays), '') AS text,
        CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (WHERE NOT stays) AS INTEGER) AS n_removed
 FROM k GROUP BY doc_id""",
+    "op7_exact_top_k": """
+WITH e AS (
+  SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_sum(list_transform(embedding, lambda v: abs(v))) > 0 GROUP BY vec_id
+), p AS (
+  SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.x, b.x), 6) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour) AS INTEGER) AS rank FROM p
+)
+SELECT vec_id, neighbour, rank, score FROM r WHERE rank <= 10""",
     "op10_ngram_jaccard": rf"""
 WITH w AS (
   SELECT doc_id, list_filter(string_split(regexp_replace(translate(text, '{_UPPER}', '{_LOWER}'), '[^a-z0-9\x80-\x{{10FFFF}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
