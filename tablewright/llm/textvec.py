@@ -52,9 +52,24 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def words(col: pa.Array, fold: np.ndarray = FOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every word: 64-bit hash, row, first byte and end byte within its row's text."""
+def words(col: pa.Array, fold: np.ndarray = FOLD, step: int = 2 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word: 64-bit hash, row, first byte and end byte within its row's text. Works on runs of rows of about
+    ``step`` bytes, which bounds the memory of the sums."""
     data, off = buffers(col)
+    parts, at = [], 0
+    while at < len(off) - 1:
+        stop = max(at + 1, int(np.searchsorted(off, off[at] + step, side="right")) - 1)
+        h, row, s, e = _words(data[off[at] : off[stop]], off[at : stop + 1] - off[at], fold)
+        parts.append((h, row + at, s, e))
+        at = stop
+    if len(parts) == 1:
+        return parts[0]
+    if not parts:
+        return _words(data[:0], np.zeros(1, np.int64), fold)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _words(data: np.ndarray, off: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
