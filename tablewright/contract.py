@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import formats, text as X
 from .operators import drift, match, profile, readiness, rules, transform
 from .plans import schema, semantic
+from .plans.engine import Engine
 from .streaming import batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,9 +206,9 @@ _ORDER_MAP = schema.Mapping({"domain": "sales", "entity": "order", "version": 1}
 SELECT * FROM (VALUES ('c_custkey', 'client_id', 'requires_review'), ('c_name', 'client_name', 'requires_review'), ('c_nationkey', 'nation', 'low_confidence'),
   ('c_acctbal', 'balance', 'auto_approved'), ('c_mktsegment', 'segment', 'requires_review')) t(field, canonical, status)""")
 def suggest_customer_mapping(spark, sf_dir):
-    p = profile.profile(_table(spark, sf_dir, "customer"))
-    ranked = match.candidates(p, schema.canonical_frame(spark, _CUSTOMER))
-    return match.assign(ranked, p).select("field", "canonical", "status")
+    e = Engine(spark)
+    found = e.suggest(e.profile(_table(spark, sf_dir, "customer")), _CUSTOMER).mappings  # one row a column
+    return spark.createDataFrame([(m.source_field, m.canonical_field, m.status) for m in found], "field string, canonical string, status string")
 
 
 @query("candidate_ranking")
