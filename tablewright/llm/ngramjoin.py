@@ -180,26 +180,38 @@ def _pairs_by_size(start: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.nd
     for c in np.unique(count):
         s = start[count == c]
         i, j = np.triu_indices(int(c), 1)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, 500_000 // len(i))
         for k in range(0, len(s), step):
             b = s[k : k + step, None]
             yield (b + i).ravel(), (b + j).ravel()
 
 
+def _added(u: np.ndarray, c: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and their counts, with one more for each value of ``found``."""
+    if not found:
+        return u, c
+    v, n = np.unique(np.concatenate(found), return_counts=True)
+    if not len(u):
+        return v, n
+    v, n = np.concatenate([u, v]), np.concatenate([c, n])
+    o = np.argsort(v, kind="stable")
+    v, n = v[o], n[o]
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    return v[first], np.add.reduceat(n, first)
+
+
 def _rows(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
-def similar_pairs(docs: DataFrame, t: float = 0.5, n: int = 3, frequent: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_pairs(docs: DataFrame, t: float = 0.5, n: int = 3, frequent: int = 1 << 20, bucket_tokens: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_a, id_b, jaccard), id_a < id_b: pairs of similarity t or more; of equal sets, each with the least id of its set."""
     spark = docs.sparkSession
     src = docs.select(col(id_col).cast("long").alias("k"), col(text_col).cast("string").alias("x")).where("k IS NOT NULL AND x IS NOT NULL")
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
     def survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Digest of each set (n null), and n-grams that several documents of this batch have."""
         for batch in batches:
-            for part in byte_slices(batch, "x", 16 << 20):
+            for part in byte_slices(batch, "x", 8 << 20):
                 sets = list(ordered_sets(part.column("x"), n))
                 k = np.array([len(s) > 0 for s in sets], bool)
                 digest = np.array([_digest(s) for s, y in zip(sets, k) if y], np.int64)
@@ -212,6 +224,9 @@ def similar_pairs(docs: DataFrame, t: float = 0.5, n: int = 3, frequent: int = 1
                 yield _rows(["k", "g", "n", "size"], pa.nulls(int(many.sum()), pa.int64()), flat[first[many]].view(np.int64), count[many].astype(np.int64), pa.nulls(int(many.sum()), pa.int32()))
 
     seen = written(src.mapInArrow(survey, "k long, g long, n long, size int"), "ngram-survey")
+    # few large buckets: a pair is counted once in each that it shares n-grams in
+    total = seen.where("n IS NULL").agg(F.sum(F.col("size") - F.ceil(F.lit(t) * F.col("size") - _EPS) + 1).alias("p")).first().p or 0
+    buckets = max(1, math.ceil(total / bucket_tokens))
     hot = _frequent(spark, seen.where("n IS NOT NULL").select("g", "n"), frequent, 16)
     groups = seen.where("n IS NULL").groupBy("g", "size").agg(F.min("k").alias("a"), F.collect_set("k").alias("all")).where(F.size("all") > 1)
     equal = groups.select("a", F.explode("all").alias("b")).where("a < b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.lit(1.0).alias("jaccard"))
@@ -219,7 +234,7 @@ def similar_pairs(docs: DataFrame, t: float = 0.5, n: int = 3, frequent: int = 1
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Prefixes, packed by bucket: for each bucket the documents with digests and sizes, and their n-grams."""
         for batch in batches:
-            for part in byte_slices(batch, "x", 16 << 20):
+            for part in byte_slices(batch, "x", 8 << 20):
                 ids, toks, digests, sizes = part.column("k").to_numpy(), [], [], []
                 for s in ordered_sets(part.column("x"), n, hot.value):
                     toks.append(s[: prefix_length(len(s), t)])
@@ -247,43 +262,49 @@ def similar_pairs(docs: DataFrame, t: float = 0.5, n: int = 3, frequent: int = 1
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, b, sizes, n): pairs of sets in a bucket with the number of prefix n-grams they share there."""
         held: dict[int, list] = {}
+        pa.default_memory_pool().release_unused()
         for batch in batches:
             for r in batch.to_pylist():
                 held.setdefault(r["b"], []).append(r)
-        for rows in held.values():
+        while held:
+            _, rows = held.popitem()
             ids, digests, sizes = (np.concatenate([np.frombuffer(r[c], d) for r in rows]) for c, d in (("ids", np.int64), ("digests", np.int64), ("sizes", np.int32)))
-            base, tok, doc = 0, [], []
-            for r in rows:
-                x = np.frombuffer(r["toks"], np.uint32)
-                p = np.frombuffer(r["place"], np.uint16 if len(r["place"]) == 2 * len(x) else np.uint32)
-                tok.append(x), doc.append(p.astype(np.int32) + base)
-                base += len(r["ids"]) // 8
-            tok, doc = np.concatenate(tok), np.concatenate(doc)
             # equal sets count once, as the one with the least id; they're in the same buckets
             o = np.lexsort((ids, sizes, digests))
             new = np.append(True, (digests[o][1:] != digests[o][:-1]) | (sizes[o][1:] != sizes[o][:-1]))
             lead = np.zeros(len(ids), bool)
             lead[o[new]] = True
-            k = lead[doc]
-            tok, doc = tok[k], doc[k]
-            o = np.lexsort((doc, tok))
-            tok, doc = tok[o], doc[o]
+            base, keys = 0, []
+            for r in rows:
+                x = np.frombuffer(r["toks"], np.uint32)
+                p = np.frombuffer(r["place"], np.uint16 if len(r["place"]) == 2 * len(x) else np.uint32) + np.uint64(base)
+                k = lead[p]
+                keys.append(x[k].astype(np.uint64) << np.uint64(32) | p[k])
+                base += len(r["ids"]) // 8
+            del rows
+            key = np.concatenate(keys)
+            del keys
+            key.sort()  # by n-gram, then by document
+            tok, doc = (key >> np.uint64(32)).astype(np.uint32), key.astype(np.uint32).astype(np.int32)
+            del key
             start = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])) if len(tok) else np.zeros(0, np.int64)
             number = np.diff(np.append(start, len(tok)))
             many = number > 1
-            found = []
+            held_u, held_c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            found, waiting = [], 0
             for i, j in _pairs_by_size(start[many], number[many]):
                 i, j = doc[i], doc[j]
                 k = (i != j) & (np.minimum(sizes[i], sizes[j]) >= t * np.maximum(sizes[i], sizes[j]) - _EPS)
                 found.append(i[k].astype(np.int64) << 32 | j[k])
-                if sum(map(len, found)) > 8_000_000:
-                    found = [np.concatenate(found)]
-                    u, c = np.unique(found[0], return_counts=True)
-                    yield from _counted(u, c, ids, sizes)
-                    found = []
-            if found:
-                u, c = np.unique(np.concatenate(found), return_counts=True)
-                yield from _counted(u, c, ids, sizes)
+                waiting += len(found[-1])
+                if waiting > 1_500_000:
+                    held_u, held_c = _added(held_u, held_c, found)
+                    found, waiting = [], 0
+                    if len(held_u) > 2_000_000:
+                        yield from _counted(held_u, held_c, ids, sizes)
+                        held_u, held_c = held_u[:0], held_c[:0]
+            held_u, held_c = _added(held_u, held_c, found)
+            yield from _counted(held_u, held_c, ids, sizes)
 
     def _counted(u: np.ndarray, c: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         i, j = u >> 32, u & 0xFFFFFFFF
@@ -305,31 +326,32 @@ def similar_pairs(docs: DataFrame, t: float = 0.5, n: int = 3, frequent: int = 1
     ha, hb = home.select("a", F.col("home").alias("ha")), home.select(F.col("a").alias("b"), F.col("home").alias("hb"))
     placed = written(likely.join(ha, "a").join(hb, "b").select("a", "b", F.least("ha", "hb").alias("home")), "ngram-placed")
     wanted = placed.select(F.col("a").alias("k"), "home").union(placed.select(F.col("b").alias("k"), "home")).distinct().groupBy("k").agg(F.collect_list("home").alias("homes"))
-    texts = src.join(wanted, "k")
 
-    def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in byte_slices(batch, "x", 8 << 20):
-                sets = [s.tobytes() for s in ordered_sets(part.column("x"), n)]
-                homes = part.column("homes")
-                where = homes.flatten().to_numpy()
-                of = np.repeat(np.arange(len(sets)), homes.value_lengths().to_numpy())
-                for at in range(0, len(where), 2000):
-                    o = of[at : at + 2000]
-                    yield _rows(["home", "k", "s"], where[at : at + 2000], part.column("k").take(pa.array(o)), pa.array([sets[i] for i in o], pa.binary()))
+                yield _rows(["k", "z"], part.column("k"), pa.array([z.compress(x.encode()) for x in part.column("x").to_pylist()], pa.binary()))
 
-    met = texts.mapInArrow(spell, "home long, k long, s binary").repartition("home").sortWithinPartitions("home", "k")
+    texts = src.mapInArrow(squeeze, "k long, z binary").join(wanted, "k")
+    met = texts.select(F.explode("homes").alias("home"), "k", "z").repartition("home").sortWithinPartitions("home", "k")
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
         last, ids, sets = None, [], []
         for batch in batches:
-            home, k, s = batch.column("home").to_numpy(), batch.column("k").to_numpy(), batch.column("s")
-            for i in range(len(home)):
-                if home[i] != last:
-                    yield from found(last, ids, sets)
-                    last, ids, sets = home[i], [], []
-                x = np.frombuffer(s[i].as_buffer(), np.uint64)
-                ids.append(k[i]), sets.append(x.copy())
+            for part in byte_slices(batch, "z", 1 << 20):
+                home, k = part.column("home").to_numpy(), part.column("k").to_numpy()
+                plain = pa.array([z.decompress(x) for x in part.column("z").to_pylist()], pa.binary())
+                for i, s in enumerate(ordered_sets(plain, n)):
+                    if home[i] != last:
+                        yield from found(last, ids, sets)
+                        last, ids, sets = home[i], [], []
+                    ids.append(k[i]), sets.append(s)
         yield from found(last, ids, sets)
 
     def found(home: int, ids: list, sets: list) -> Iterator[pa.RecordBatch]:
