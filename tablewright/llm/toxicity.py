@@ -20,7 +20,6 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -142,14 +141,16 @@ def train(positive: list[str], unlabelled: list[str], features: int = 512, steps
     """Fit a model. Features: the n-grams that stand out among positives against unlabelled texts, by ``lift`` and by
     ``evidence`` against chance."""
     memo: dict[str, tuple[str, ...]] = {}
-    sp, su = ([text_grams(t, memo) for t in x] for x in (positive, unlabelled))
-    if not any(sp) or not su:
+    fp, fu = Counter(), Counter()
+    for texts, counts in ((positive, fp), (unlabelled, fu)):
+        for t in texts:  # one text's set at a time
+            counts.update(text_grams(t, memo))
+    if not fp or not unlabelled:
         return Model({}, -1.0, 0.0)
-    fp, fu = (Counter(chain.from_iterable(x)) for x in (sp, su))
     # how far above chance a positive count is (Poisson tail, in nats), for n-grams several times as frequent as at large
     gain = {}
     for g, n in fp.items():
-        e = (fu[g] + 0.5) * len(sp) / len(su)
+        e = (fu[g] + 0.5) * len(positive) / len(unlabelled)
         if n >= 3 and n > lift * e and (x := n * np.log(n / e) - (n - e)) > evidence:
             gain[g] = x
     chosen = sorted(gain, key=lambda g: (-gain[g], g))[:features]
