@@ -62,6 +62,20 @@ def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> str:
     return os.path.join(os.environ.get("TABLEWRIGHT_TOKENIZERS", "/opt/tokenizers"), name)
 
 
+def trim_memory() -> None:
+    """Give memory that this Python worker no longer uses back to the system; workers serve one stage after another."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def byte_slices(batch, column: str, limit: int = 4 << 20):
     """Cut an Arrow record batch in runs of rows with about ``limit`` bytes of ``column`` each (one row at least)."""
     sizes = batch.column(column)

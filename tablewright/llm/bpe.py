@@ -19,18 +19,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import byte_slices, col, tokenizer_file
+from ._shared import byte_slices, col, tokenizer_file, trim_memory
 
 #: Split of text before merges, as published with the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Blanks at which a text can't be cut: white space on both sides, or at the end behind other white space.
 ODD = re.compile(r"\s \s|\s \Z").search
 #: Entries of the piece and chunk caches of a partition at which they are emptied; results don't depend on it.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 400_000
 #: Bytes of a piece from which the query for long pieces is used.
 LONG = 512
 #: Pieces in a recursive query.
-PIECES = 50_000
+PIECES = 20_000
 
 _SHORT_SQL = """
 WITH RECURSIVE s(i, g, t) AS (
@@ -105,7 +105,7 @@ class Codec:
                 a, b = ranks.get(tok[:k]), ranks.get(tok[k:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), new.append(i)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         int32 = pa.int32()
         self._load("merges", {"l": pa.array(left, int32), "r": pa.array(right, int32), "n": pa.array(new, int32)})
         # a byte is the character of the same number; NUL, which strings may not hold, is U+0100
@@ -237,8 +237,9 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_col: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
+        trim_memory()
         for batch in batches:
-            for part in byte_slices(batch, "x"):
+            for part in byte_slices(batch, "x", 2 << 20):
                 codec = codec or Codec(load_ranks(path))
                 texts = part.column("x").to_pylist()
                 flat, count = codec.encode(texts)
