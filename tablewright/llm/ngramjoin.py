@@ -5,7 +5,8 @@
    broadcast (``frequent`` entries) that decides the order alone, and any order gives the same pairs.
 2. Two sets of similarity t or more share an n-gram among the first |x| - ceil(t |x|) + 1 of each. These prefixes are
    dealt by n-gram to buckets in packed blocks; a bucket counts, for each pair of sets that it holds, the n-grams they
-   share. Counts are added up by pair, and a pair stays if what it may share beyond the prefixes could still reach t.
+   share. What the rest of both sets can't give has to be shared by the prefixes, so some bucket holds its part of that
+   number: a pair stays if any bucket counts as many.
 3. The sets of such pairs meet in one task for each group of neighbours. There a trie stores the ordered sets, with
    common beginnings once; a set walks the trie, carries the overlap along shared paths and leaves a subtree when the
    lengths that remain on both sides can't reach t.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from ._shared import byte_slices, col, drop_path, shared_path, written
+from ._shared import byte_slices, col, trim_memory, written
 
 _EPS = 1e-9
 
@@ -200,6 +201,26 @@ def _added(u: np.ndarray, c: np.ndarray, found: list[np.ndarray]) -> tuple[np.nd
     return v[first], np.add.reduceat(n, first)
 
 
+def _pair_counts(start: np.ndarray, number: np.ndarray, doc: np.ndarray, sizes: np.ndarray, t: float, passes: int, turn: int, most: int = 4_000_000) -> tuple[np.ndarray | None, np.ndarray]:
+    """Pairs i << 32 | j of sets within runs of equal n-grams, and in how many runs; null with more than ``most`` pairs. Of
+    several passes each takes the pairs of its turn."""
+    u, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found, waiting = [], 0
+    for i, j in _pairs_by_size(start, number):
+        i, j = doc[i], doc[j]
+        k = (i != j) & (np.minimum(sizes[i], sizes[j]) >= t * np.maximum(sizes[i], sizes[j]) - _EPS)
+        if passes > 1:
+            k &= (i.astype(np.int64) * 7919 + j) % passes == turn
+        found.append(i[k].astype(np.int64) << 32 | j[k])
+        waiting += len(found[-1])
+        if waiting > 1_500_000:
+            u, c = _added(u, c, found)
+            found, waiting = [], 0
+            if len(u) > most:
+                return None, c
+    return _added(u, c, found)
+
+
 def _rows(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
@@ -260,9 +281,9 @@ def similar_pairs(docs: DataFrame, t: float = 0.5, n: int = 3, frequent: int = 1
     blocks = blocks.repartition(buckets, "b")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(a, b, sizes, n): pairs of sets in a bucket with the number of prefix n-grams they share there."""
+        """(a, b): pairs of sets that share enough prefix n-grams in a bucket."""
         held: dict[int, list] = {}
-        pa.default_memory_pool().release_unused()
+        trim_memory()
         for batch in batches:
             for r in batch.to_pylist():
                 held.setdefault(r["b"], []).append(r)
@@ -290,35 +311,23 @@ def similar_pairs(docs: DataFrame, t: float = 0.5, n: int = 3, frequent: int = 1
             start = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])) if len(tok) else np.zeros(0, np.int64)
             number = np.diff(np.append(start, len(tok)))
             many = number > 1
-            held_u, held_c = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            found, waiting = [], 0
-            for i, j in _pairs_by_size(start[many], number[many]):
-                i, j = doc[i], doc[j]
-                k = (i != j) & (np.minimum(sizes[i], sizes[j]) >= t * np.maximum(sizes[i], sizes[j]) - _EPS)
-                found.append(i[k].astype(np.int64) << 32 | j[k])
-                waiting += len(found[-1])
-                if waiting > 1_500_000:
-                    held_u, held_c = _added(held_u, held_c, found)
-                    found, waiting = [], 0
-                    if len(held_u) > 2_000_000:
-                        yield from _counted(held_u, held_c, ids, sizes)
-                        held_u, held_c = held_u[:0], held_c[:0]
-            held_u, held_c = _added(held_u, held_c, found)
-            yield from _counted(held_u, held_c, ids, sizes)
-
-    def _counted(u: np.ndarray, c: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        i, j = u >> 32, u & 0xFFFFFFFF
-        swap = ids[i] > ids[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        for k in range(0, len(u), 500_000):
-            s = slice(k, k + 500_000)
-            yield _rows(["a", "b", "na", "nb", "c"], ids[i[s]], ids[j[s]], sizes[i[s]], sizes[j[s]], c[s].astype(np.int32))
-
-    shared = blocks.mapInArrow(count, "a long, b long, na int, nb int, c int").groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.max(F.greatest("na", "nb")).alias("most"), F.sum("c").alias("c"))
-
-    rest = F.ceil(F.lit(t) * F.col("most") - _EPS) - 1  # n-grams beyond the longer prefix
-    least = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - _EPS)
-    likely = written(shared.where(F.col("c") + rest >= least).where("a <> b").select("a", "b"), "ngram-likely")
+            passes, at = 1, 0
+            while at < passes:
+                u, c = _pair_counts(start[many], number[many], doc, sizes, t, passes, at)
+                if u is None:  # too many at once: again in more passes, each over a share of the pairs
+                    passes, at = passes * 4, 0
+                    continue
+                at += 1
+                i, j = u >> 32, u & 0xFFFFFFFF
+                # n-grams that the prefixes have to share; some bucket has its part of them at least
+                least = needed(sizes[i], sizes[j], t) - np.ceil(t * np.maximum(sizes[i], sizes[j]) - _EPS) + 1
+                k = c * buckets >= least
+                i, j = i[k], j[k]
+                for x in range(0, len(i), 500_000):
+                    v, w = ids[i[x : x + 500_000]], ids[j[x : x + 500_000]]
+                    yield _rows(["a", "b"], np.minimum(v, w), np.maximum(v, w))
+
+    likely = written(blocks.mapInArrow(count, "a long, b long").where("a <> b").distinct(), "ngram-likely")
 
     # a pair meets at the least neighbour of either side, so groups of copies meet in one place
     both = likely.select("a", "b").union(likely.select("b", "a"))
@@ -341,6 +350,7 @@ def similar_pairs(docs: DataFrame, t: float = 0.5, n: int = 3, frequent: int = 1
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        trim_memory()
         z = zstandard.ZstdDecompressor()
         last, ids, sets = None, [], []
         for batch in batches:
