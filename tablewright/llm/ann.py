@@ -4,10 +4,13 @@ query; similarity is the cosine.
 Coarse centroids (about the square root of the number of vectors) and the codebooks of residuals are trained by Lloyd steps
 over all vectors; only the starting points are a sample. A vector is kept as its list and one byte for each subspace. For
 a query the score of a vector in a probed list is the query's product with the list's centroid plus one entry of the query's
-asymmetric distance table for each subspace; the best ``rerank`` of a group of lists are compared exactly, in float64.
+asymmetric distance table for each subspace. The best ``rerank`` of a group of lists are compared exactly, in float64, and
+so is every other vector whose score, with the length of what its code leaves out, reaches the k-th best of those: a score
+is off by that length at most, so nothing in a probed list is lost, and equal scores rank by id.
 
 How many lists are probed is measured, not set: for ``calibration`` vectors the exact neighbours are found over all
-vectors, and the least number of lists that holds a share ``recall`` of them is taken. Vectors without cluster structure need
+vectors, and the least number of lists that holds a share ``recall`` of them is taken. As the lists are searched without
+loss, that share is the recall of the result. Vectors without cluster structure need
 many lists, clustered ones few. Query shards follow the lists, so that with few probes a shard meets few groups.
 
 (id, neighbour, rank, score): score to 6 decimals. Results for odd input: as ``vectors.clean`` leaves out or joins
@@ -24,11 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import vectors as V
 from ._shared import written
 
 
+#: Bound on the error of float32 scores of unit vectors, with the rounding of reported ones.
+_ERROR = 2e-5
+
+
 @dataclass
 class Index:
     """Coarse centroids (lists, d) and codebooks (subspaces, 256 at most, d / subspaces), float32."""
@@ -44,6 +52,13 @@ class Index:
         rest = _spread(x - self.centroids[lists], self.books)
         return np.stack([_nearest(rest[:, m], self.books[m]) for m in range(len(self.books))], axis=1).astype(np.uint8)
 
+    def left_out(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distance of each vector from what its list and codes stand for."""
+        rest = _spread(x - self.centroids[lists], self.books)
+        for m in range(len(self.books)):
+            rest[:, m] -= self.books[m][codes[:, m]]
+        return np.sqrt((rest**2).sum((1, 2)))
+
 
 def _nearest(x: np.ndarray, centroids: np.ndarray, step: int = 8192) -> np.ndarray:
     half = (centroids**2).sum(1) / 2
@@ -120,24 +135,24 @@ def probes_for(packed: DataFrame, x: DataFrame, d: int, index: Index, k: int, re
     """Least number of lists that holds a share ``recall`` of the exact neighbours of ``calibration`` vectors."""
     rows = x.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(calibration).collect()
     q = np.array([r.x for r in rows])
-    q = (q / np.sqrt((q**2).sum(1))[:, None]).astype(np.float32)
+    q = q / np.sqrt((q**2).sum(1))[:, None]
     own = np.array([r.id for r in rows])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 ids, v = V.unpack(batch.column("ids")[r], batch.column("xs")[r], d)
-                v = v.astype(np.float32)
-                p = q @ v.T
+                p = np.round(q @ v.T, V.PLACES)
                 p[own[:, None] == ids[None]] = -np.inf
-                at = V.top_places(p, k)
-                who = np.repeat(np.arange(len(q)), at.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(index.nearest_list(v[at.ravel()])), pa.array(np.take_along_axis(p, at, 1).ravel().astype(float))], ["id", "neighbour", "score"])
+                who, at = _first(p, k)
+                lists = index.nearest_list(v[at].astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids[at]), pa.array(p[who, at]), pa.array(lists)], ["id", "neighbour", "score", "l"])
 
-    got = V.best(packed.mapInArrow(run, V.PAIR).where("score > -2"), k, "id").select("id", "neighbour").toArrow()  # k rows a calibration vector
-    score = q @ index.centroids.T
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "neighbour"))
+    got = packed.mapInArrow(run, V.PAIR + ", l long").withColumn("rank", rank).where(F.col("rank") <= k).select("id", "l").toArrow()  # k rows a calibration vector
+    score = q.astype(np.float32) @ index.centroids.T
     place = np.argsort(np.argsort(-score, axis=1), axis=1)
-    rank = np.sort(place[got["id"].to_numpy(), got["neighbour"].to_numpy()])
+    rank = np.sort(place[got["id"].to_numpy(), got["l"].to_numpy()])
     return int(rank[min(len(rank) - 1, math.ceil(recall * len(rank)))]) + 1 if len(rank) else 1
 
 
@@ -200,13 +215,11 @@ def neighbours(table: DataFrame, k: int = 10, recall: float = 0.96, calibration:
                 o = np.argsort(lists, kind="stable")
                 ids2, y, lists = ids2[o], y[o], lists[o]
                 codes = held.value.codes(small[o], lists)
-                for a in range(0, len(q), 512):
-                    i, j = _candidates(q[a : a + 512].astype(np.float32), ids[a : a + 512], ids2, lists, codes, held.value, rerank)
+                off = held.value.left_out(small[o], lists, codes)
+                for a in range(0, len(q), 256):
+                    i, j = _closest(q[a : a + 256], ids[a : a + 256], y, ids2, lists, codes, off, held.value, rerank, k)
                     s = np.round(V.exact(q, y, i + a, j), V.PLACES)
-                    best = np.lexsort((ids2[j], -s, i))
-                    first = np.searchsorted(i[best], i[best])
-                    best = best[np.arange(len(best)) - first < k]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i[best] + a]), pa.array(ids2[j[best]]), pa.array(s[best])], ["id", "neighbour", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + a]), pa.array(ids2[j]), pa.array(s)], ["id", "neighbour", "score"])
 
     return V.best(met.mapInArrow(search, V.PAIR), k, id_col)
 
@@ -219,20 +232,39 @@ def _probed(q: np.ndarray, index: Index) -> np.ndarray:
     return score >= -np.partition(-score, index.probes - 1, axis=1)[:, index.probes - 1 : index.probes]
 
 
-def _candidates(q: np.ndarray, own: np.ndarray, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, index: Index, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vector) of the ``rerank`` best by table for each query, among vectors of probed lists."""
-    probed = _probed(q, index).T  # (lists, queries)
+def _first(p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k greatest of each row of p, of equal ones the first; those at minus infinity aren't found."""
+    if p.shape[1] > k:
+        least = np.take_along_axis(p, V.top_places(p, k), 1).min(1, keepdims=True)
+        more, equal = p > least, p == least
+        p = np.where(more | equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= k - more.sum(1, keepdims=True)), p, -np.inf)
+    return np.nonzero(p > -np.inf)
+
+
+def _closest(q: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, off: np.ndarray, index: Index, rerank: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) of the k best for each query among vectors of probed lists, of equal ones those of least id."""
+    small = q.astype(np.float32)
+    probed = _probed(small, index).T  # (lists, queries)
     rows = np.flatnonzero(probed[lists].any(1))
-    score = (index.centroids @ q.T)[lists[rows]]
-    tables = np.einsum("qmw,mcw->mcq", _spread(q, index.books), index.books, optimize=True)
+    rows = rows[np.argsort(ids[rows])]
+    score = (index.centroids @ small.T)[lists[rows]]
+    tables = np.einsum("qmw,mcw->mcq", _spread(small, index.books), index.books, optimize=True)
     tables = np.ascontiguousarray(tables, np.float32)
     for m in range(len(tables)):
         score += tables[m][codes[rows, m]]
     score[~probed[lists[rows]]] = -np.inf
     score[ids[rows][:, None] == own[None]] = -np.inf
     score = np.ascontiguousarray(score.T)
-    at = V.top_places(score, rerank)
-    i = np.repeat(np.arange(len(q)), at.shape[1])
-    j = at.ravel()
-    k = score[i, j] > -np.inf
-    return i[k], rows[j[k]]
+    at = V.top_places(score, max(rerank, k))
+    if at.shape[1] >= k:
+        # the k-th best of those by exact comparison: what can't reach it by its score and its error is no neighbour
+        true = V.exact(q, y, np.repeat(np.arange(len(q)), at.shape[1]), rows[at.ravel()]).reshape(at.shape)
+        true[np.take_along_axis(score, at, 1) == -np.inf] = -np.inf
+        least = np.partition(true, -k, axis=1)[:, -k, None] - _ERROR
+        score[score + off[rows].astype(np.float32) < least] = -np.inf
+    near = score > -np.inf
+    used = np.flatnonzero(near.any(0))
+    p = np.round(q @ y[rows[used]].T, V.PLACES)
+    p[~near[:, used]] = -np.inf
+    i, j = _first(p, k)
+    return i, rows[used[j]]

@@ -89,3 +89,24 @@ def test_odd_rows_and_ties(spark):
     assert set(got) == set(want)
     hits = sum(len({n for n, _ in want[i]} & {n for n, _ in got[i]}) for i in want)
     assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_recall_among_near_copies(spark):
+    """With the query's own parameters: more near copies, and more equal vectors, than are compared exactly at first."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(6000, 64))
+    m[:1500] = m[0] + 1e-3 * rng.normal(size=(1500, 64))
+    m[1500:1900] = m[1500]
+    m = m[rng.permutation(len(m))].astype(np.float32)
+    u = m.astype(float) / np.sqrt((m.astype(float) ** 2).sum(1))[:, None]
+    copies = np.flatnonzero(u @ u[(u @ u.T > 0.99).sum(1).argmax()] > 0.99)
+    equal = np.flatnonzero((np.round(u @ u.T, 6) == 1).sum(1) == 400)
+    assert len(copies) == 1500 and len(equal) == 400
+    got = found(ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")))
+    for group in (copies, equal):
+        hits = 0
+        for i in group:
+            s = np.round(u @ u[i], 6)
+            s[i] = -2
+            hits += len(set(np.lexsort((np.arange(len(s)), -s))[:10].tolist()) & {n for n, _ in got[i]})
+        assert hits / len(group) / 10 >= 0.9, hits / len(group) / 10
