@@ -25,7 +25,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the sources' target proportions, in shards' order."""
-    return mixing.mix_sources(docs).drop("shard", "position")
+    return mixing.mix_sources(docs, power=mixing.POWER).drop("shard", "position")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source gives an exact quota of documents in the proportion of the target weights, none more often than once. Its
-documents are permuted by hash and cut in blocks. A binary tree over the output shards splits the vector of block quotas:
+Each source gives an exact quota of documents in the proportion of the target weights, none more often than once. The
+total is the largest at which the sources that fall short, taken whole, lack a share ``slack`` of it together: a source of a
+few documents doesn't decide how much of the others is kept. Nor does the null source, of whatever size; it gives its
+weight of the total, or all it has. A source's documents are permuted by hash and cut in blocks. A binary tree over the output shards splits the vector of block quotas:
 each node draws, without replacement, what its left half of the shards gets of each source, so each shard holds an exact
 number of blocks and the shards together hold each quota exactly. A source's permuted blocks are dealt to shards in
 ranges that don't meet, and each shard shuffles its documents locally.
@@ -26,13 +28,26 @@ from ._shared import col, written
 _NULL = "\0null"
 
 
-def quotas(counts: dict[str, int], weights: dict[str, float]) -> dict[str, int]:
-    """Documents by source: the largest total at the weights that no source falls short of; fractions are rounded down."""
+#: Target weights of the query and the pipeline: the sources' sizes to this power.
+POWER = 0.7
+
+
+def quotas(counts: dict[str, int], weights: dict[str, float], slack: float = 0.01) -> dict[str, int]:
+    """Documents by source: the largest total at the weights that sources with a name fall short of by ``slack`` of it at
+    most, all together. Those that fall short give all they have; fractions are rounded down."""
     w = {s: weights.get(s, 0.0) for s, n in counts.items() if n > 0 and weights.get(s, 0.0) > 0}
     if not w:
         return {}
-    total = min(counts[s] / x for s, x in w.items())
-    return {s: min(counts[s], math.floor(total * x + 1e-9)) for s, x in w.items()}
+    reach = {s: counts[s] / x for s, x in w.items() if s != _NULL}
+    named = sorted(reach, key=reach.get)  # scarcest first
+    over, have, total = -slack * sum(w.values()), 0, math.inf
+    for s, after in zip(named, [*named[1:], None]):
+        # at this total those so far, taken whole, lack slack of it; it holds if the next one doesn't fall short there
+        over, have = over + w[s], have + counts[s]
+        total = have / over if over > 0 else math.inf
+        if after is not None and total <= reach[after]:
+            break
+    return {s: math.floor(min(counts[s], total * x + 1e-9)) for s, x in w.items()}
 
 
 def split_tree(blocks: list[int], shards: int, seed: int) -> np.ndarray:
@@ -57,8 +72,8 @@ def smoothed(counts: dict[str, int], power: float) -> dict[str, float]:
     return {s: n**power for s, n in counts.items()}
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, shard_docs: int = 8192, block_docs: int = 32, seed: int = 11, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The chosen documents, all columns, with ``shard`` and ``position`` in the shard; each partition holds whole shards,
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, shard_docs: int = 8192, block_docs: int = 32, seed: int = 11, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The documents of the sources' ``quotas``, all columns, with ``shard`` and ``position`` in the shard; each partition holds whole shards,
     in order of position. Without ``weights`` they are the sources' sizes to ``power``."""
     spark = docs.sparkSession
     src = F.coalesce(col(source_col).cast("string"), F.lit(_NULL))

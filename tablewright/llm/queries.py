@@ -39,7 +39,7 @@ def op7_exact_top_k(spark, sf_dir):
 
 
 def op8_mixing(spark, sf_dir):
-    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), power=mixing.POWER)
 
 
 def op9_ann(spark, sf_dir):

@@ -181,3 +181,24 @@ def test_split_tree_sums(blocks, shards):
     t = mixing.split_tree(blocks, shards, 1)
     assert t.sum(0).tolist() == blocks and (t >= 0).all() and t.sum(1).max() - t.sum(1).min() <= 1
     assert (t == mixing.split_tree(blocks, shards, 1)).all()
+
+
+def test_rare_and_null_sources_dont_decide_for_all(spark):
+    sizes = {"hot": 6000, "a": 200, "b": 200, "rare": 3}
+    rows = [(s, i) for s, n in {**sizes, None: 2}.items() for i in range(n)]
+    df = frame(spark, [(n, "t", s) for n, (s, _) in enumerate(rows)])
+    got = Counter(r.source for r in mixing.mix_sources(df, power=mixing.POWER).collect())
+    assert got["rare"] == 3 and got[None] == 2 and got["a"] == got["b"] == 200 and got["hot"] >= 2000
+    # a null source of any size, equal sources, one source, reviewers' sizes
+    assert mixing.quotas({"a": 1000, "b": 1000, mixing._NULL: 5}, {"a": 0.4, "b": 0.4, mixing._NULL: 0.2}) == {"a": 1000, "b": 1000, mixing._NULL: 5}
+    assert mixing.quotas({mixing._NULL: 7}, {mixing._NULL: 1.0}) == {mixing._NULL: 7} and mixing.quotas({"a": 7}, {"a": 2.0}) == {"a": 7}
+    many = {"w": 10_000_000, "x": 500_000, "y": 200_000, "z": 1}
+    target = mixing.smoothed(many, mixing.POWER)
+    quota = mixing.quotas(many, target)
+    assert quota["z"] == 1 and quota["y"] == 200_000 and quota["w"] > 3_000_000
+    assert sum(max(0, target[s] / sum(target.values()) - n / sum(quota.values())) for s, n in quota.items()) < 0.011
+
+
+def test_mix_stays_at_explicit_weights():
+    quota = mixing.quotas({"a": 1000, "b": 100}, {"a": 0.5, "b": 0.5})
+    assert quota["b"] == 100 and 100 <= quota["a"] <= 103
