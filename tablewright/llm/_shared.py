@@ -57,6 +57,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> str:
     """Place of a public vocabulary file; TABLEWRIGHT_TOKENIZERS names another folder."""
     return os.path.join(os.environ.get("TABLEWRIGHT_TOKENIZERS", "/opt/tokenizers"), name)

@@ -1,22 +1,26 @@
-"""Exact self-join on n-gram Jaccard similarity with prefix filters and tries.
-
-1. Each document's set of word n-grams (words lower case, ASCII punctuation dropped) is put in one global order: n-grams
-   not known to be frequent by hash, then frequent ones, rarest first. The table of frequent n-grams is a bounded
-   broadcast (``frequent`` entries) that decides the order alone, and any order gives the same pairs.
-2. Two sets of similarity t or more share an n-gram among the first |x| - ceil(t |x|) + 1 of each. These prefixes are
-   dealt by n-gram to buckets in packed blocks; a bucket counts, for each pair of sets that it holds, the n-grams they
-   share. What the rest of both sets can't give has to be shared by the prefixes, so some bucket holds its part of that
-   number: a pair stays if any bucket counts as many.
-3. The sets of such pairs meet in one task for each group of neighbours. There a trie stores the ordered sets, with
-   common beginnings once; a set walks the trie, carries the overlap along shared paths and leaves a subtree when the
-   lengths that remain on both sides can't reach t.
-
-Documents with equal sets are joined once: ``set_groups`` links each to the least id of its set, and pairs are between
-those. ``similar_pairs`` gives both, as (id_a, id_b, jaccard).
-
-Results for odd input: null texts and texts without a word have no n-grams and are in no pair; a text of fewer than n words
-has one n-gram, of all its words; null ids are left out; rows that repeat an id are compared each by itself
-and a pair has the highest similarity. An empty table gives no pairs. Other columns aren't read (``one_of_each`` passes them through).
+"""Exact self-join on n-gram Jaccard similarity: prefix filter over one global order, prefix-tree join.
+
+1. Each document becomes its set of word n-grams (words lower case, ASCII punctuation dropped). Documents with equal sets
+   are one set from here on, known by digest and size.
+2. N-grams are dealt by hash to buckets, where all sets that hold one meet: its number of sets gives its place in the
+   global order, rarest first, and n-grams of one set alone end here. Each n-gram gets a home, the least set that holds
+   it, so that the n-grams of a group of near copies share a home. N-grams known to be in very many sets skip the
+   buckets; each is its own home (a bounded broadcast names them, and decides places and homes alone, not the result).
+3. Back at its set, the shared n-grams are put in order. Similarity t with any other set takes ceil(t |x|) of them; sets
+   with fewer end here. Two similar sets share an n-gram among the first |x| - ceil(t |x|) + 1 of each, so a set goes, with
+   its n-grams, to the homes of those alone.
+4. At a home a trie stores the sets, commonest n-gram first, so that near copies share paths. One walk over the trie carries the
+   overlap of all other sets with the path, and leaves a subtree where the lengths that remain on both sides can't reach t.
+   A pair that meets at several homes counts at the least one. Links are counted and joined to classes there; pairs leave a
+   home only where the caller asks for them.
+
+A home of many sets is cut in blocks, and a task takes two blocks, so that memory is bounded; the links between sets that all
+differ and are all similar are counted one by one, which takes time quadratic in such a group. Equal sets cost nothing more.
+
+Results for odd input: null texts and texts without a word have no n-grams and are in no class; a text of fewer than n words
+has one n-gram, of all its words; a text of any length is one set, held whole by one task; null ids are left out; rows that
+repeat an id are documents of their own. An empty table gives no rows. Ids of any type that orders; other columns aren't
+read (``one_of_each`` passes them through). N-grams are told apart by 40 bits of hash within a bucket.
 """
 
 from __future__ import annotations
@@ -31,32 +35,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from ._shared import byte_slices, col, trim_memory, written
+from ._shared import byte_slices, col, fresh, trim_memory, written
 
 _EPS = 1e-9
+#: Steps of the logarithm of an n-gram's number of sets in the global order, for each doubling; and the last place.
+_STEPS, _LAST = 8, 255
+_LOW40 = np.uint64((1 << 40) - 1)
 
 
-def ordered_sets(texts: pa.Array, n: int, frequent: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """Each text's set of n-grams as 64-bit hashes in the global order. ``frequent``: sorted by hash, with fields h, rank."""
+def gram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Each text's set of n-grams as 64-bit hashes, ascending."""
     h, row, _, _ = textvec.words(texts)
     g, row = textvec.grams(h, row, n)
     cut = np.searchsorted(row, np.arange(len(texts) + 1))
-    if frequent is not None and len(frequent):
-        at = np.minimum(np.searchsorted(frequent["h"], g), len(frequent) - 1)
-        known = frequent["h"][at] == g
-        rank = np.where(known, frequent["rank"][at].astype(np.int64) + 1, 0)
-    else:
-        rank = None
     for a, b in zip(cut, cut[1:]):
-        u = np.unique(g[a:b]) if rank is None or not rank[a:b].any() else None
-        if u is None:
-            u, first = np.unique(g[a:b], return_index=True)
-            u = u[np.argsort(rank[a:b][first], kind="stable")]
-        yield u
+        yield np.unique(g[a:b])
 
 
-def prefix_length(size: int, t: float) -> int:
-    return size - math.ceil(t * size - _EPS) + 1 if size else 0
+def digest(s: np.ndarray) -> int:
+    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def least_shared(size, t: float):
+    """N-grams that a set of this size shares at least with any set of similarity t."""
+    return np.ceil(t * np.asarray(size) - _EPS).astype(np.int64)
 
 
 def needed(a, b, t: float):
@@ -64,327 +66,467 @@ def needed(a, b, t: float):
     return np.ceil(t / (1 + t) * (np.asarray(a) + np.asarray(b)) - _EPS)
 
 
+def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places start, start + 1 ... of each run, one run after another."""
+    at = np.cumsum(count) - count
+    return np.repeat(start - at, count) + np.arange(int(count.sum()))
+
+
 class Trie:
-    """Trie over ordered sets (arrays of positions in the global order, ascending). A node holds a run of elements."""
+    """Sets (ascending arrays of places in an order, 0 to ``universe``) as a trie. A node is a run of places that the sets
+    ``order[lo:hi]`` all spell."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], universe: int):
         self.sets = sets
-        order = sorted(range(len(sets)), key=lambda i: sets[i].tobytes())  # big-endian bytes: as sequences
-        self.order = order
-        same = [0] * len(order)
-        for i in range(1, len(order)):
-            a, b = sets[order[i - 1]], sets[order[i]]
+        self.length = np.array([len(s) for s in sets])
+        spelled = [s.astype(">u4").tobytes() for s in sets]
+        self.order = sorted(range(len(sets)), key=spelled.__getitem__)
+        self.same = np.zeros(len(sets), np.int64)
+        for i in range(1, len(sets)):
+            a, b = sets[self.order[i - 1]], sets[self.order[i]]
             m = min(len(a), len(b))
-            diff = np.flatnonzero(a[:m] != b[:m])
-            same[i] = int(diff[0]) if len(diff) else m
-        # nodes: (start in set, end in set, set that spells it, first and past last in the order)
-        self.nodes: list[tuple[int, int, int, int, int]] = []
-        self.children: dict[int, list[int]] = {}
-        self.most = np.array([len(sets[i]) for i in order])
-        self.same = same
-        if order:
-            self.root = self._build(0, len(order), 0)
-
-    def _build(self, lo: int, hi: int, depth: int) -> int:
-        """Node for order[lo:hi], which share their first ``depth`` elements at least."""
-        stack = [(lo, hi, depth, -1)]
-        root = 0
+            diff = a[:m] != b[:m]
+            self.same[i] = diff.argmax() if diff.any() else m
+        # of every place: the sets that hold it, and where in them
+        flat = np.concatenate(sets)
+        who = np.repeat(np.arange(len(sets)), self.length)
+        o = np.argsort(flat, kind="stable")
+        self.who, self.place = who[o], (np.arange(len(flat)) - np.repeat(np.cumsum(self.length) - self.length, self.length))[o]
+        self.cut = np.searchsorted(flat[o], np.arange(universe + 1))
+
+    def walk(self, sizes: np.ndarray, t: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(set, the others of similarity t, their overlaps). ``sizes``: of the whole sets, of which the trie may hold a part
+        that includes all they share."""
+        m = len(self.sets)
+        stack = [(0, m, 0, np.zeros(m, np.int64), np.zeros(m, np.int64))]
         while stack:
-            lo, hi, depth, parent = stack.pop()
-            end = min(self.same[lo + 1 : hi], default=len(self.sets[self.order[lo]]))
-            me = len(self.nodes)
-            self.nodes.append((depth, end, self.order[lo], lo, hi))
-            self.children[me] = []
-            if parent >= 0:
-                self.children[parent].append(me)
-            else:
-                root = me
+            lo, hi, depth, shared, used = stack.pop()
+            first = self.sets[self.order[lo]]
+            end = int(self.same[lo + 1 : hi].min()) if hi - lo > 1 else len(first)
+            if end > depth:
+                run = first[depth:end]
+                at = _spans(self.cut[run], self.cut[run + 1] - self.cut[run])
+                who = self.who[at]
+                shared = shared + np.bincount(who, minlength=m)
+                used = used.copy()
+                used[who] = self.place[at] + 1
+            below = self.order[lo:hi]
+            left = np.minimum(self.length - used, self.length[below].max() - end)
+            fit = shared + left >= needed(sizes, sizes[below].min(), t)
+            if fit.sum() <= (1 if hi - lo == 1 else 0):
+                continue
             at = lo
-            while at < hi and len(self.sets[self.order[at]]) == end:
+            while at < hi and self.length[self.order[at]] == end:
+                i = self.order[at]
+                hit = fit & (shared >= needed(sizes, sizes[i], t))
+                hit[i] = False
+                j = np.flatnonzero(hit)
+                if len(j):
+                    yield i, j, shared[j]
                 at += 1
-            if at > lo and at < hi or hi - lo > 1:
-                start = at
-                while start < hi:
-                    stop = start + 1
-                    while stop < hi and self.same[stop] > end:
-                        stop += 1
-                    stack.append((start, stop, end, me))
-                    start = stop
-        return root
-
-    def probe(self, x: np.ndarray, mark: np.ndarray, t: float) -> Iterator[tuple[int, int]]:
-        """(set, overlap) of the sets with similarity t to ``x``. ``mark``: at each element, its place in x, or -1."""
-        if not self.order:
-            return
-        stack = [(self.root, 0, 0)]
-        while stack:
-            node, shared, used = stack.pop()
-            start, end, spell, lo, hi = self.nodes[node]
-            if end > start:
-                seen = mark[self.sets[spell][start:end]]
-                seen = seen[seen >= 0]
-                if len(seen):
-                    shared, used = shared + len(seen), int(seen[-1]) + 1
-            sizes = self.most[lo:hi]
-            least = needed(len(x), sizes, t)
-            if not (shared + np.minimum(len(x) - used, sizes - end) >= least).any():
-                continue
-            for i in range(lo, hi):
-                if sizes[i - lo] != end:
-                    break
-                if shared >= least[i - lo]:
-                    yield self.order[i], shared
-            stack += [(c, shared, used) for c in self.children[node]]
-
-
-def trie_join(sets: list[np.ndarray], t: float) -> list[tuple[int, int, float]]:
-    """All pairs i < j of similarity t or more among sets of hashes."""
-    if not sets:
-        return []
-    flat = np.concatenate(sets)
-    # what most of these sets have comes first, so that they share long paths
-    u, inv, number = np.unique(flat, return_inverse=True, return_counts=True)
-    place = np.empty(len(u), np.int64)
-    place[np.lexsort((u, -number))] = np.arange(len(u))
-    inv = place[inv]
-    cut = np.cumsum([0, *map(len, sets)])
-    spelled = [np.sort(inv[a:b]).astype(">u4") for a, b in zip(cut, cut[1:])]
-    return _trie_join(spelled, len(u), t)
+            while at < hi:
+                stop = at + 1
+                while stop < hi and self.same[stop] > end:
+                    stop += 1
+                stack.append((at, stop, end, shared, used))
+                at = stop
 
 
-def _trie_join(spelled: list[np.ndarray], universe: int, t: float) -> list[tuple[int, int, float]]:
-    trie = Trie(spelled)
-    mark = np.full(universe, -1, np.int64)
-    out = []
-    for j, x in enumerate(spelled):
-        mark[x] = np.arange(len(x))
-        for i, shared in trie.probe(x, mark, t):
-            if i < j:
-                out.append((i, j, shared / (len(x) + len(spelled[i]) - shared)))
-        mark[x] = -1
-    return out
-
-
-def _frequent(spark, local: DataFrame, frequent: int, least: int):
-    """Broadcast of the ``frequent`` n-grams that occur in most documents, by hash, ranked from the rarest."""
-    top = local.groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "g").limit(frequent)
-    got = top.toArrow()
-    h, n = got["g"].to_numpy().view(np.uint64), got["n"].to_numpy()
-    out = np.zeros(len(h), [("h", "u8"), ("rank", "i4")])
-    o = np.lexsort((h, n))
-    out["h"], out["rank"] = h[o], np.arange(len(h))
-    return spark.sparkContext.broadcast(np.sort(out, order="h"))
-
-
-def _pairs_by_size(start: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within runs, a block of runs of one length at a time."""
-    for c in np.unique(count):
-        s = start[count == c]
-        i, j = np.triu_indices(int(c), 1)
-        step = max(1, 500_000 // len(i))
-        for k in range(0, len(s), step):
-            b = s[k : k + step, None]
-            yield (b + i).ravel(), (b + j).ravel()
-
-
-def _added(u: np.ndarray, c: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and their counts, with one more for each value of ``found``."""
-    if not found:
-        return u, c
-    v, n = np.unique(np.concatenate(found), return_counts=True)
-    if not len(u):
-        return v, n
-    v, n = np.concatenate([u, v]), np.concatenate([c, n])
-    o = np.argsort(v, kind="stable")
-    v, n = v[o], n[o]
-    first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-    return v[first], np.add.reduceat(n, first)
-
-
-def _pair_counts(start: np.ndarray, number: np.ndarray, doc: np.ndarray, sizes: np.ndarray, t: float, passes: int, turn: int, most: int = 4_000_000) -> tuple[np.ndarray | None, np.ndarray]:
-    """Pairs i << 32 | j of sets within runs of equal n-grams, and in how many runs; null with more than ``most`` pairs. Of
-    several passes each takes the pairs of its turn."""
-    u, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found, waiting = [], 0
-    for i, j in _pairs_by_size(start, number):
-        i, j = doc[i], doc[j]
-        k = (i != j) & (np.minimum(sizes[i], sizes[j]) >= t * np.maximum(sizes[i], sizes[j]) - _EPS)
-        if passes > 1:
-            k &= (i.astype(np.int64) * 7919 + j) % passes == turn
-        found.append(i[k].astype(np.int64) << 32 | j[k])
-        waiting += len(found[-1])
-        if waiting > 1_500_000:
-            u, c = _added(u, c, found)
-            found, waiting = [], 0
-            if len(u) > most:
-                return None, c
-    return _added(u, c, found)
+def trie_join(sets: list[np.ndarray], t: float, sizes: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each set with the others of similarity t or more and its overlaps with them; elements in any one order, greatest commonest."""
+    flat, inv = np.unique(np.concatenate(sets), return_inverse=True)
+    cut = np.cumsum([0, *map(len, sets)])
+    local = [np.sort(len(flat) - 1 - inv[a:b]) for a, b in zip(cut, cut[1:])]
+    return Trie(local, len(flat)).walk(np.array([len(s) for s in sets]) if sizes is None else sizes, t)
 
 
 def _rows(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
-def similar_pairs(docs: DataFrame, t: float = 0.5, n: int = 3, frequent: int = 1 << 20, bucket_tokens: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_a, id_b, jaccard), id_a < id_b: pairs of similarity t or more; of equal sets, each with the least id of its set."""
-    spark = docs.sparkSession
-    src = docs.select(col(id_col).cast("long").alias("k"), col(text_col).cast("string").alias("x")).where("k IS NOT NULL AND x IS NOT NULL")
-    def survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Digest of each set (n null), and n-grams that several documents of this batch have."""
-        for batch in batches:
-            for part in byte_slices(batch, "x", 8 << 20):
-                sets = list(ordered_sets(part.column("x"), n))
-                k = np.array([len(s) > 0 for s in sets], bool)
-                digest = np.array([_digest(s) for s, y in zip(sets, k) if y], np.int64)
-                size = np.array([len(s) for s, y in zip(sets, k) if y], np.int32)
-                yield _rows(["k", "g", "n", "size"], part.column("k").filter(pa.array(k)), digest, pa.nulls(len(digest), pa.int64()), size)
-                flat = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-                first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
-                count = np.diff(np.append(first, len(flat)))
-                many = count >= 5
-                yield _rows(["k", "g", "n", "size"], pa.nulls(int(many.sum()), pa.int64()), flat[first[many]].view(np.int64), count[many].astype(np.int64), pa.nulls(int(many.sum()), pa.int32()))
-
-    seen = written(src.mapInArrow(survey, "k long, g long, n long, size int"), "ngram-survey")
-    # few large buckets: a pair is counted once in each that it shares n-grams in
-    total = seen.where("n IS NULL").agg(F.sum(F.col("size") - F.ceil(F.lit(t) * F.col("size") - _EPS) + 1).alias("p")).first().p or 0
-    buckets = max(1, math.ceil(total / bucket_tokens))
-    hot = _frequent(spark, seen.where("n IS NOT NULL").select("g", "n"), frequent, 16)
-    groups = seen.where("n IS NULL").groupBy("g", "size").agg(F.min("k").alias("a"), F.collect_set("k").alias("all")).where(F.size("all") > 1)
-    equal = groups.select("a", F.explode("all").alias("b")).where("a < b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.lit(1.0).alias("jaccard"))
-
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Prefixes, packed by bucket: for each bucket the documents with digests and sizes, and their n-grams."""
-        for batch in batches:
-            for part in byte_slices(batch, "x", 8 << 20):
-                ids, toks, digests, sizes = part.column("k").to_numpy(), [], [], []
-                for s in ordered_sets(part.column("x"), n, hot.value):
-                    toks.append(s[: prefix_length(len(s), t)])
-                    digests.append(_digest(np.sort(s)))
-                    sizes.append(len(s))
-                length = np.array([len(x) for x in toks])
-                flat = np.concatenate(toks) if toks else np.zeros(0, np.uint64)
-                doc = np.repeat(np.arange(len(toks), dtype=np.int32), length)
-                where = ((flat >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-                o = np.argsort(where, kind="stable")
-                flat, doc, where = flat[o], doc[o], where[o]
-                cut = np.searchsorted(where, np.arange(buckets + 1))
-                digests, sizes = np.array(digests, np.int64), np.array(sizes, np.int32)
-                out = []
-                for b in range(buckets):
-                    lo, hi = cut[b], cut[b + 1]
-                    if hi > lo:
-                        has, place = np.unique(doc[lo:hi], return_inverse=True)
-                        out.append((b, ids[has].tobytes(), digests[has].tobytes(), sizes[has].tobytes(), flat[lo:hi].astype(np.uint32).tobytes(), place.astype(np.uint16 if len(has) < 65536 else np.uint32).tobytes()))
-                yield _rows(["b", "ids", "digests", "sizes", "toks", "place"], *([pa.array([r[0] for r in out], pa.int32())] + [pa.array([r[i] for r in out], pa.binary()) for i in range(1, 6)]))
-
-    blocks = src.mapInArrow(deal, "b int, ids binary, digests binary, sizes binary, toks binary, place binary")
-    blocks = blocks.repartition(buckets, "b")
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(a, b): pairs of sets that share enough prefix n-grams in a bucket."""
-        held: dict[int, list] = {}
-        trim_memory()
-        for batch in batches:
-            for r in batch.to_pylist():
-                held.setdefault(r["b"], []).append(r)
-        while held:
-            _, rows = held.popitem()
-            ids, digests, sizes = (np.concatenate([np.frombuffer(r[c], d) for r in rows]) for c, d in (("ids", np.int64), ("digests", np.int64), ("sizes", np.int32)))
-            # equal sets count once, as the one with the least id; they're in the same buckets
-            o = np.lexsort((ids, sizes, digests))
-            new = np.append(True, (digests[o][1:] != digests[o][:-1]) | (sizes[o][1:] != sizes[o][:-1]))
-            lead = np.zeros(len(ids), bool)
-            lead[o[new]] = True
-            base, keys = 0, []
-            for r in rows:
-                x = np.frombuffer(r["toks"], np.uint32)
-                p = np.frombuffer(r["place"], np.uint16 if len(r["place"]) == 2 * len(x) else np.uint32) + np.uint64(base)
-                k = lead[p]
-                keys.append(x[k].astype(np.uint64) << np.uint64(32) | p[k])
-                base += len(r["ids"]) // 8
-            del rows
-            key = np.concatenate(keys)
-            del keys
-            key.sort()  # by n-gram, then by document
-            tok, doc = (key >> np.uint64(32)).astype(np.uint32), key.astype(np.uint32).astype(np.int32)
-            del key
-            start = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])) if len(tok) else np.zeros(0, np.int64)
-            number = np.diff(np.append(start, len(tok)))
-            many = number > 1
-            passes, at = 1, 0
-            while at < passes:
-                u, c = _pair_counts(start[many], number[many], doc, sizes, t, passes, at)
-                if u is None:  # too many at once: again in more passes, each over a share of the pairs
-                    passes, at = passes * 4, 0
-                    continue
-                at += 1
-                i, j = u >> 32, u & 0xFFFFFFFF
-                # n-grams that the prefixes have to share; some bucket has its part of them at least
-                least = needed(sizes[i], sizes[j], t) - np.ceil(t * np.maximum(sizes[i], sizes[j]) - _EPS) + 1
-                k = c * buckets >= least
-                i, j = i[k], j[k]
-                for x in range(0, len(i), 500_000):
-                    v, w = ids[i[x : x + 500_000]], ids[j[x : x + 500_000]]
-                    yield _rows(["a", "b"], np.minimum(v, w), np.maximum(v, w))
-
-    likely = written(blocks.mapInArrow(count, "a long, b long").where("a <> b").distinct(), "ngram-likely")
-
-    # a pair meets at the least neighbour of either side, so groups of copies meet in one place
-    both = likely.select("a", "b").union(likely.select("b", "a"))
-    home = both.groupBy("a").agg(F.least("a", F.min("b")).alias("home"))
-    ha, hb = home.select("a", F.col("home").alias("ha")), home.select(F.col("a").alias("b"), F.col("home").alias("hb"))
-    placed = written(likely.join(ha, "a").join(hb, "b").select("a", "b", F.least("ha", "hb").alias("home")), "ngram-placed")
-    wanted = placed.select(F.col("a").alias("k"), "home").union(placed.select(F.col("b").alias("k"), "home")).distinct().groupBy("k").agg(F.collect_list("home").alias("homes"))
-
-    def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        z = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for part in byte_slices(batch, "x", 8 << 20):
-                yield _rows(["k", "z"], part.column("k"), pa.array([z.compress(x.encode()) for x in part.column("x").to_pylist()], pa.binary()))
-
-    texts = src.mapInArrow(squeeze, "k long, z binary").join(wanted, "k")
-    met = texts.select(F.explode("homes").alias("home"), "k", "z").repartition("home").sortWithinPartitions("home", "k")
-
-    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        trim_memory()
-        z = zstandard.ZstdDecompressor()
-        last, ids, sets = None, [], []
-        for batch in batches:
-            for part in byte_slices(batch, "z", 1 << 20):
-                home, k = part.column("home").to_numpy(), part.column("k").to_numpy()
-                plain = pa.array([z.decompress(x) for x in part.column("z").to_pylist()], pa.binary())
-                for i, s in enumerate(ordered_sets(plain, n)):
-                    if home[i] != last:
-                        yield from found(last, ids, sets)
-                        last, ids, sets = home[i], [], []
-                    ids.append(k[i]), sets.append(s)
-        yield from found(last, ids, sets)
-
-    def found(home: int, ids: list, sets: list) -> Iterator[pa.RecordBatch]:
-        hit = trie_join(sets, t) if len(sets) > 1 else []
-        if hit:
-            i, j, v = zip(*hit)
-            ids = np.array(ids, np.int64)
-            yield _rows(["home", "a", "b", "jaccard"], np.full(len(i), home, np.int64), ids[list(i)], ids[list(j)], np.array(v))
-
-    near = met.mapInArrow(join, "home long, a long, b long, jaccard double")
-    near = near.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("jaccard").alias("jaccard"))  # neighbours may meet in two places
-    near = near.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "jaccard")
-    return written(near.unionByName(equal), "ngram-pairs")
-
-
-def _digest(s: np.ndarray) -> int:
-    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _packed(names: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of a number and binaries."""
+    columns = [*zip(*rows)] or [()] * len(names.split())
+    return _rows(names.split(), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:]))
+
+
+def _joined(rows: list[dict], name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(r[name] or b"", kind) for r in rows] or [np.zeros(0, kind)])
+
+
+class _Dealer:
+    """N-grams of sets, dealt to buckets in packed rows; a set that was dealt before isn't again."""
+
+    NAMES = "b keys sizes counts lo hi"
+    SCHEMA = "b int, keys binary, sizes binary, counts binary, lo binary, hi binary"
+
+    def __init__(self, buckets: int, hot: np.ndarray, flush: int, remember: int):
+        self.buckets, self.hot, self.flush_at, self.remember = buckets, hot, flush, remember
+        self.seen: set[tuple[int, int]] = set()
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.sets, self.held = [], [], 0
+
+    def add(self, s: np.ndarray) -> bool:
+        """Whether it is time to flush."""
+        key = (digest(s), len(s))
+        if key not in self.seen:
+            if len(self.seen) >= self.remember:
+                self.seen.clear()
+            self.seen.add(key)
+            self.keys.append(key[0]), self.sets.append(s)
+            self.held += len(s)
+        return self.held >= self.flush_at
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.sets:
+            return
+        keys, sizes = np.array(self.keys, np.int64), np.array([len(s) for s in self.sets], np.int32)
+        flat, doc = np.concatenate(self.sets), np.repeat(np.arange(len(keys), dtype=np.int32), sizes)
+        self.clear()
+        out = []
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot["h"], flat), len(self.hot) - 1)
+            known = self.hot["h"][at] == flat
+            if known.any():
+                b = (keys.view(np.uint64) % np.uint64(self.buckets)).astype(np.int32)[doc[known]]
+                out += self._cut(b, doc[known], at[known], keys, sizes, True)
+            flat, doc = flat[~known], doc[~known]
+        b = ((flat >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int32)
+        out += self._cut(b, doc, flat, keys, sizes, False)
+        for a in range(0, len(out), 256):
+            yield _packed(self.NAMES, out[a : a + 256])
+
+    def _cut(self, b: np.ndarray, doc: np.ndarray, x: np.ndarray, keys: np.ndarray, sizes: np.ndarray, hot: bool) -> list[tuple]:
+        o = np.argsort(b.astype(np.uint16) if self.buckets <= 65536 else b, kind="stable")  # sets stay in order within a bucket
+        b, doc, x = b[o], doc[o], x[o]
+        first = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
+        rows = []
+        for lo, hi in zip(first, [*first[1:], len(b)]):
+            d, v = doc[lo:hi], x[lo:hi]
+            start = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+            has = d[start]
+            counts = np.diff(np.append(start, len(d))).astype(np.int32)
+            rows.append((int(b[lo]), keys[has].tobytes(), sizes[has].tobytes(), counts.tobytes(), v.astype(np.uint32).tobytes(), None if hot else (v >> np.uint64(32)).astype(np.uint8).tobytes()))
+        return rows
+
+
+def _own_home(h: np.ndarray) -> np.ndarray:
+    return textvec.mix(h ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
+
+
+class _Bucket:
+    """What one bucket says of its n-grams, sent back to the sets."""
+
+    NAMES = "d keys sizes counts hi lo names homes"
+    SCHEMA = "d int, keys binary, sizes binary, counts binary, hi binary, lo binary, names binary, homes binary"
+
+    def __init__(self, b: int, rows: list[dict], hot: np.ndarray, dests: int):
+        self.dests = dests
+        plain = [r for r in rows if r["hi"] is not None]
+        known = [r for r in rows if r["hi"] is None]
+        self.parts = [self._places(b, plain)]
+        if known:
+            keys, sizes, counts = (_joined(known, c, k) for c, k in (("keys", np.int64), ("sizes", np.int32), ("counts", np.int32)))
+            _, first, inv = np.unique(np.rec.fromarrays([keys, sizes]), return_index=True, return_inverse=True)
+            lead = np.zeros(len(keys), bool)
+            lead[first] = True
+            stays = np.repeat(lead, counts)
+            rank = _joined(known, "lo", np.uint32)[stays]
+            place = np.uint64(_LAST) << np.uint64(48) | rank.astype(np.uint64)
+            self.parts.append((keys[first], sizes[first], np.repeat(inv, counts)[stays], place, _own_home(hot["h"][rank])))
+
+    @staticmethod
+    def _places(b: int, rows: list[dict]) -> tuple:
+        """Keys and sizes of the sets, and of each n-gram that several hold: set, place in the global order, home."""
+        keys, sizes, counts = (_joined(rows, c, k) for c, k in (("keys", np.int64), ("sizes", np.int32), ("counts", np.int32)))
+        # equal sets come from several tasks; one counts
+        o = np.lexsort((sizes, keys))
+        new = np.append(True, (keys[o][1:] != keys[o][:-1]) | (sizes[o][1:] != sizes[o][:-1]))[: len(o)]
+        own = np.full(len(keys), -1, np.int64)
+        own[o[new]] = np.arange(int(new.sum()))
+        keys, sizes = keys[o[new]], sizes[o[new]]
+        who = np.repeat(own, counts)
+        bits = np.uint64(max(1, (len(keys) - 1).bit_length()))
+        x = _joined(rows, "lo", np.uint32).astype(np.uint64) | _joined(rows, "hi", np.uint8).astype(np.uint64) << np.uint64(32)
+        x = (x[who >= 0] << bits) | who[who >= 0].astype(np.uint64)
+        x.sort()
+        who, x = (x & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), x >> bits
+        start = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+        number = np.diff(np.append(start, len(x)))
+        home = np.minimum.reduceat(keys[who], start) if len(x) else keys[:0]
+        several = number > 1
+        who = who[_spans(start[several], number[several])]
+        number, home = number[several], home[several]
+        step = np.minimum(_LAST - 1, (np.log2(number) * _STEPS).astype(np.uint64)) if len(number) else number.astype(np.uint64)
+        place = step << np.uint64(48) | np.uint64(b) << np.uint64(24) | np.arange(len(number), dtype=np.uint64)
+        return keys, sizes, who, np.repeat(place, number), np.repeat(home, number)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        out = []
+        for keys, sizes, who, place, home in self.parts:
+            dest = (keys.view(np.uint64) % np.uint64(self.dests)).astype(np.int64)
+            o = np.lexsort((home, who, dest[who]))
+            who, place, home = who[o], place[o], home[o]
+            d = dest[who]
+            first = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
+            for lo, hi in zip(first, [*first[1:], len(d)]):
+                w = who[lo:hi]
+                start = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+                counts = np.diff(np.append(start, len(w))).astype(np.int32)
+                names, homes = np.unique(home[lo:hi], return_inverse=True)
+                p = place[lo:hi]
+                out.append((int(d[lo]), keys[w[start]].tobytes(), sizes[w[start]].tobytes(), counts.tobytes(), (p >> np.uint64(32)).astype(np.uint32).tobytes(), p.astype(np.uint32).tobytes(), names.tobytes(), homes.astype(np.uint32).tobytes()))
+        for a in range(0, len(out), 256):
+            yield _packed(self.NAMES, out[a : a + 256])
+
+
+_MET = "home long, part long, key long, size int, toks binary, less binary, side int"
+
+
+def _route(rows: list[dict], t: float, block: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sets with enough shared n-grams, one row for each home that n-grams of their prefix have."""
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=1)
+    keys, sizes, counts = (_joined(rows, c, k) for c, k in (("keys", np.int64), ("sizes", np.int32), ("counts", np.int32)))
+    place = _joined(rows, "hi", np.uint32).astype(np.uint64) << np.uint64(32) | _joined(rows, "lo", np.uint32).astype(np.uint64)
+    home = np.concatenate([np.frombuffer(r["names"], np.int64)[np.frombuffer(r["homes"], np.uint32)] for r in rows] or [np.zeros(0, np.int64)])
+    o = np.lexsort((sizes, keys))
+    new = np.append(True, (keys[o][1:] != keys[o][:-1]) | (sizes[o][1:] != sizes[o][:-1]))[: len(o)]
+    own = np.empty(len(keys), np.int64)
+    own[o] = np.cumsum(new) - 1
+    keys, sizes = keys[o[new]], sizes[o[new]]
+    who = np.repeat(own, counts)
+    shared = np.bincount(who, minlength=len(keys))
+    least = least_shared(sizes, t)
+    k = (shared >= least)[who]
+    who, place, home = who[k], place[k], home[k]
+    o = np.lexsort((place, who))
+    who, place, home = who[o], place[o], home[o]
+    start = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
+    out = []
+    for lo, hi in zip(start, [*start[1:], len(who)]):
+        i = who[lo]
+        prefix = slice(lo, lo + int(shared[i] - least[i]) + 1)
+        # homes of n-grams in more sets than a block holds are apart by their place's step, which gives the number of blocks
+        step = (place[prefix] >> np.uint64(48)).astype(np.int64)
+        if len(hot):
+            number = np.where(step == _LAST, hot["n"][np.where(step == _LAST, place[prefix] & np.uint64(0xFFFFFFFF), 0).astype(np.int64)], 2.0 ** ((step + 1) / _STEPS))
+        else:
+            number = 2.0 ** ((step + 1) / _STEPS)
+        blocks = np.where(number > block, np.ceil(number / block), 1).astype(np.int64)
+        name = np.where(blocks > 1, textvec.mix(home[prefix].view(np.uint64) + step.astype(np.uint64)).view(np.int64), home[prefix])
+        name, first = np.unique(name, return_index=True)
+        p = place[lo:hi]
+        toks = z.compress((p >> np.uint64(32)).astype(np.uint32).tobytes() + p.astype(np.uint32).tobytes())
+        for j, (h, f) in enumerate(zip(name, first)):
+            n = int(blocks[f])
+            mine = int(textvec.mix(keys[i : i + 1].view(np.uint64))[0] % np.uint64(n))
+            for other in range(n):
+                out.append((h, min(mine, other) << 32 | max(mine, other), keys[i], sizes[i], toks, name[:j].tobytes(), mine))
+                if len(out) >= 4096:
+                    yield _met(out)
+                    out = []
+    yield _met(out)
+
+
+def _met(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32())
+    return _rows(["home", "part", "key", "size", "toks", "less", "side"], *(pa.array(c, k) for c, k in zip([*zip(*out)] or [()] * 7, kinds)))
+
+
+def _home_links(part: int, rows: list[tuple], t: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(set, its links that count at this home, overlaps) by place among the rows (key, size, toks, less, side)."""
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    sets = []
+    for r in rows:
+        x = np.frombuffer(z.decompress(r[2]), np.uint32)
+        sets.append(x[: len(x) // 2].astype(np.uint64) << np.uint64(32) | x[len(x) // 2 :].astype(np.uint64))
+    sizes = np.array([r[1] for r in rows], np.int64)
+    # sets of one block meet among themselves where both blocks are that one
+    side = np.array([r[4] for r in rows]) if part >> 32 != part & 0xFFFFFFFF else None
+    before: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
+        for h in np.frombuffer(r[3], np.int64).tolist():
+            before.setdefault(h, []).append(i)
+    earlier: dict[int, list[np.ndarray]] = {}
+    for members in before.values():
+        if len(members) > 1:
+            at = np.array(members)
+            for i in members:
+                earlier.setdefault(i, []).append(at)
+    for i, j, shared in trie_join(sets, t, sizes):
+        keep = np.ones(len(j), bool)
+        if side is not None:
+            keep &= side[j] != side[i]
+        if i in earlier:
+            met = np.zeros(len(rows), bool)
+            for at in earlier[i]:
+                met[at] = True
+            keep &= ~met[j]
+        if keep.any():
+            yield i, j[keep], shared[keep]
+
+
+def _frequent(local: DataFrame, frequent: int, least: int) -> np.ndarray:
+    """At most ``frequent`` n-grams that were counted ``least`` times or more, by hash, with their counts."""
+    got = local.groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "g").limit(frequent).toArrow()
+    out = np.zeros(len(got), [("h", "u8"), ("n", "f8")])
+    out["h"], out["n"] = got["g"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    return np.sort(out, order="h")
+
+
+class _Join:
+    """The join's state: ``seen`` (k, x, g, size): each document with a hash of its text and its set's digest and size; ``met``:
+    sets at homes."""
+
+    def __init__(self, docs: DataFrame, t: float, n: int, bucket_grams: int, block: int, frequent: int, hot_least: int, id_col: str, text_col: str):
+        spark = docs.sparkSession
+        id_type = docs.select(col(id_col)).schema[0].dataType.simpleString()
+        text = col(text_col).cast("string")
+        src = docs.select(col(id_col).alias("k"), F.xxhash64(text).alias("h"), text.alias("x")).where("k IS NOT NULL AND x IS NOT NULL")
+
+        def survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Digest and size of each set (n null), and n-grams that several sets of a run of texts have."""
+            for batch in batches:
+                for part in byte_slices(batch, "x", 8 << 20):
+                    sets = list(gram_sets(part.column("x"), n))
+                    has = np.array([len(s) > 0 for s in sets], bool)
+                    sets = [s for s in sets if len(s)]
+                    g, size = np.array([digest(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int32)
+                    k = part.column("k").filter(pa.array(has))
+                    yield _rows(["k", "h", "g", "n", "size"], k, part.column("h").filter(pa.array(has)), g, pa.nulls(len(g), pa.int64()), size)
+                    different = [sets[i] for i in np.unique(g, return_index=True)[1]]
+                    flat = np.sort(np.concatenate(different)) if different else np.zeros(0, np.uint64)
+                    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+                    count = np.diff(np.append(first, len(flat)))
+                    many = count >= 5
+                    m = int(many.sum())
+                    yield _rows(["k", "h", "g", "n", "size"], pa.nulls(m, k.type), pa.nulls(m, pa.int64()), flat[first[many]].view(np.int64), count[many].astype(np.int64), pa.nulls(m, pa.int32()))
+
+        all_seen = written(src.mapInArrow(survey, f"k {id_type}, h long, g long, n long, size int"), "ngram-survey")
+        self.seen = all_seen.where("n IS NULL").select("k", "h", "g", "size")
+        total = self.seen.agg(F.sum("size")).first()[0] or 0
+        buckets = max(1, math.ceil(total / bucket_grams))
+        hot = spark.sparkContext.broadcast(_frequent(all_seen.where("n IS NOT NULL").select("g", "n"), frequent, hot_least))
+
+        def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dealer = _Dealer(buckets, hot.value, 4_000_000, 1_000_000)
+            trim_memory()
+            for batch in batches:
+                for part in byte_slices(batch, "x", 8 << 20):
+                    for s in gram_sets(part.column("x"), n):
+                        if len(s) and dealer.add(s):
+                            yield from dealer.flush()
+            yield from dealer.flush()
+
+        def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trim_memory()
+            held: dict[int, list[dict]] = {}  # one bucket, or few small ones
+            for batch in batches:
+                for r in batch.to_pylist():
+                    held.setdefault(r["b"], []).append(r)
+            while held:
+                yield from _Bucket(*held.popitem(), hot.value, buckets).rows()
+
+        def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trim_memory()
+            yield from _route([r for batch in batches for r in batch.to_pylist()], t, block, hot.value)
+
+        dealt = src.select("x").mapInArrow(deal, _Dealer.SCHEMA).repartitionById(buckets, "b")
+        placed = dealt.mapInArrow(places, _Bucket.SCHEMA).repartitionById(buckets, "d")
+        self.met = placed.mapInArrow(route, _MET).repartition("home", "part").sortWithinPartitions("home", "part", "key")
+        self.t, self.id_col = t, id_col
+
+    def at_homes(self, of, schema: str) -> DataFrame:
+        """Rows that ``of(keys, sizes, links)`` makes at each home with several sets."""
+        t = self.t
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trim_memory()
+            last, rows = (0, 0), []
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                if len(rows) > 1:
+                    keys, sizes = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+                    yield from of(keys, sizes, _home_links(last[1], rows, t))
+
+            for batch in batches:
+                for home, part, *r in zip(*(batch.column(c).to_pylist() for c in ("home", "part", "key", "size", "toks", "less", "side"))):
+                    if (home, part) != last:
+                        yield from flush()
+                        last, rows = (home, part), []
+                    rows.append(r)
+            yield from flush()
+
+        return self.met.mapInArrow(run, schema)
+
+
+def _linked(keys: np.ndarray, sizes: np.ndarray, links) -> Iterator[pa.RecordBatch]:
+    """(key, links, root): sets with links at a home, their number, and the least set that links at this home lead to."""
+    number, label = np.zeros(len(keys), np.int64), np.arange(len(keys))
+    for i, j, _ in links:
+        number[i] += len(j)
+        all_of = np.unique(label[np.append(j, i)])
+        if len(all_of) > 1:
+            label[np.isin(label, all_of)] = all_of[0]
+    at = np.flatnonzero(number)
+    if len(at):
+        o = at[np.lexsort((keys[at], label[at]))]  # the least key of each label comes first
+        first = np.append(True, np.diff(label[o]) != 0)
+        root = keys[o[first]][np.cumsum(first) - 1]
+        yield _rows(["key", "links", "root"], keys[o], number[o], root)
+
+
+def _pairs(t: float):
+    def of(keys: np.ndarray, sizes: np.ndarray, links) -> Iterator[pa.RecordBatch]:
+        for i, j, shared in links:
+            k = keys[j] > keys[i]
+            j, shared = j[k], shared[k]
+            if len(j):
+                yield _rows(["a", "b", "jaccard"], np.full(len(j), keys[i]), keys[j], shared / (sizes[i] + sizes[j] - shared))
+
+    return of
+
+
+def near_duplicates(docs: DataFrame, t: float = 0.5, n: int = 3, bucket_grams: int = 4_000_000, block: int = 4096, frequent: int = 1 << 20, hot_least: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, n_links, n_copies) of every document that has another of similarity t or more: the least id of those that
+    links lead to, the number of different n-gram sets of similarity t, and the number of other documents with an equal set."""
+    return _classes(docs, t, n, bucket_grams, block, frequent, hot_least, id_col, text_col).select(F.col("k").alias(id_col), "class_id", "n_links", "n_copies")
+
+
+def _classes(docs: DataFrame, t: float, n: int, bucket_grams: int, block: int, frequent: int, hot_least: int, id_col: str, text_col: str) -> DataFrame:
+    join = _Join(docs, t, n, bucket_grams, block, frequent, hot_least, id_col, text_col)
+    near = written(join.at_homes(_linked, "key long, links long, root long"), "ngram-links")
+    roots = components(near.where("key <> root").select(F.col("key").alias("id_a"), F.col("root").alias("id_b"))).select(F.col("id").alias("g"), "root")
+    number = near.groupBy(F.col("key").alias("g")).agg(F.sum("links").alias("n_links"))
+    sets = join.seen.groupBy("g", "size").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("copies"))
+    sets = sets.join(number, "g", "left").join(roots, "g", "left").where("copies > 1 OR n_links IS NOT NULL")
+    sets = written(sets.select("g", "size", "first", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "g").alias("root")), "ngram-sets")
+    least = sets.groupBy("root").agg(F.min("first").alias("class_id"))
+    sets = sets.join(least, "root").select("g", "size", "class_id", "n_links", (F.col("copies") - 1).alias("n_copies"))
+    return join.seen.join(sets, ["g", "size"]).select("k", "h", "class_id", "n_links", "n_copies")
+
+
+def similar_pairs(docs: DataFrame, t: float = 0.5, n: int = 3, bucket_grams: int = 4_000_000, block: int = 4096, frequent: int = 1 << 20, hot_least: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_a, id_b, jaccard), id_a < id_b: pairs of similarity t or more between the least ids of different sets, and each other
+    id of a set with its least."""
+    join = _Join(docs, t, n, bucket_grams, block, frequent, hot_least, id_col, text_col)
+    first = join.seen.groupBy("g", "size").agg(F.min("k").alias("first"))
+    a, b = (first.select(F.col("g").alias(c), F.col("first").alias("id_" + c)) for c in "ab")
+    near = join.at_homes(_pairs(t), "a long, b long, jaccard double").join(a, "a").join(b, "b")
+    near = near.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "jaccard")
+    equal = join.seen.join(first, ["g", "size"]).select(F.col("first").alias("id_a"), F.col("k").alias("id_b"), F.lit(1.0).alias("jaccard"))
+    return near.unionByName(equal).where("id_a < id_b").groupBy("id_a", "id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def components(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     """(id, root): for every id in a pair, the least id that pairs lead to. Labels spread over edges and jump to their
     label's label until none changes; each round is written in the shared folder."""
-    spark = pairs.sparkSession
     edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v"))
     edges = written(edges.union(edges.select("v", "u")).distinct(), "cc-edges")
     labels = written(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("root")), "cc-labels")
@@ -401,7 +543,9 @@ def components(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, t: float = 0.5, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, without those that pairs link to a smaller id: one of each group stays."""
-    pairs = similar_pairs(docs, t, n, id_col=id_col, text_col=text_col)
-    gone = components(pairs).where("id <> root").select(F.col("id").alias("_tw_gone"))
-    return docs.join(gone, col(id_col).cast("long") == F.col("_tw_gone"), "left_anti")
+    """The documents, all columns, without those of a class that aren't its least id: one of each class stays. Documents
+    in no class stay, those with null ids, null texts and texts without a word among them. A document is known by its id and a hash of its text."""
+    gone = _classes(docs, t, n, 4_000_000, 4096, 1 << 20, 50_000, id_col, text_col).where("k <> class_id")
+    k, h = fresh(docs, "gone_id"), fresh(docs, "gone_hash")
+    gone = gone.select(F.col("k").alias(k), F.col("h").alias(h)).distinct()
+    return docs.join(gone, (col(id_col) == F.col(k)) & (F.xxhash64(col(text_col).cast("string")) == F.col(h)), "left_anti")

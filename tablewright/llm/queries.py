@@ -47,7 +47,7 @@ def op9_ann(spark, sf_dir):
 
 
 def op10_ngram_jaccard(spark, sf_dir):
-    return ngramjoin.similar_pairs(table(spark, sf_dir, "documents"))
+    return ngramjoin.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_warc, op4_line_dedup, op5_suffix_dedup, op6_token_counts, op7_exact_top_k, op8_mixing, op9_ann, op10_ngram_jaccard)}
@@ -98,15 +98,18 @@ WITH e AS (
 )
 SELECT vec_id, neighbour, rank, score FROM r WHERE rank <= 10""",
     "op10_ngram_jaccard": rf"""
-WITH w AS (
-  SELECT doc_id, list_filter(string_split(regexp_replace(translate(text, '{_UPPER}', '{_LOWER}'), '[^a-z0-9\x80-\x{{10FFFF}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(translate(text, '{_UPPER}', '{_LOWER}'), '[^a-z0-9\x80-\x{{10FFFF}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL
 ), g AS (
   SELECT doc_id, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) END AS g
   FROM w WHERE len(w) > 0
-), f AS (SELECT min(doc_id) AS id, g FROM g GROUP BY g),
+), f AS (SELECT min(doc_id) AS id, count(*) AS copies, g FROM g GROUP BY g),
 e AS (SELECT id, len(g) AS n, unnest(g) AS x FROM f),
-p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c, any_value(a.n + b.n) AS n FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
-SELECT id_a, id_b, CAST(c AS DOUBLE) / (n - c) AS jaccard FROM p WHERE CAST(c AS DOUBLE) / (n - c) >= 0.5
-UNION ALL
-SELECT f.id, g.doc_id, CAST(1 AS DOUBLE) FROM f JOIN g ON f.g = g.g WHERE g.doc_id > f.id""",
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n + b.n) AS n FROM e a JOIN e b ON a.x = b.x AND a.id <> b.id GROUP BY 1, 2),
+p AS (SELECT a, b FROM c WHERE CAST(c AS DOUBLE) / (n - c) >= 0.5),
+r AS (SELECT id, id AS root FROM f UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.id),
+k AS (SELECT id, min(root) AS class_id FROM r GROUP BY id),
+l AS (SELECT a AS id, count(*) AS n_links FROM p GROUP BY a)
+SELECT g.doc_id, k.class_id, coalesce(l.n_links, 0) AS n_links, f.copies - 1 AS n_copies
+FROM g JOIN f ON g.g = f.g JOIN k ON k.id = f.id LEFT JOIN l ON l.id = f.id WHERE f.copies > 1 OR l.n_links > 0""",
 }

@@ -71,7 +71,7 @@ def test_no_rows(spark):
     df = frame(spark, []) if False else spark.createDataFrame([], SCHEMA)
     assert linededup.line_dedup(df).count() == 0 and linededup.dedup_documents(df).count() == 0
     assert mixing.mix_sources(df).count() == 0
-    assert ngramjoin.similar_pairs(df).count() == 0 and ngramjoin.one_of_each(df).count() == 0
+    assert ngramjoin.similar_pairs(df).count() == 0 and ngramjoin.one_of_each(df).count() == 0 and ngramjoin.near_duplicates(df).count() == 0
 
 
 # n-gram sets
@@ -117,13 +117,69 @@ def near_rows(seed=1, n=70):
     return rows + [(None, rows[0][1], "s"), (n, None, "s"), (n + 1, "", "s"), (n + 2, "...", "s"), (n + 3, rows[1][1].upper(), "s"), (n + 4, "one", "s"), (n + 5, "One!", "s"), rows[2], (n + 6, " ".join(vocab * 800), "s")]
 
 
-@pytest.mark.parametrize("seed,t,bucket", [(1, 0.5, 3_000_000), (2, 0.7, 100), (3, 0.34, 40)])
-def test_pairs_match_brute_force(spark, seed, t, bucket):
+SMALL = [(1, 0.5, {}), (2, 0.7, {"bucket_grams": 100}), (3, 0.34, {"bucket_grams": 40, "block": 3}), (5, 0.5, {"bucket_grams": 60, "block": 2, "hot_least": 6, "frequent": 9})]
+
+
+@pytest.mark.parametrize("seed,t,small", SMALL)
+def test_pairs_match_brute_force(spark, seed, t, small):
     rows = near_rows(seed)
-    got = {(r.id_a, r.id_b, round(r.jaccard, 9)) for r in ngramjoin.similar_pairs(frame(spark, rows), t=t, bucket_tokens=bucket).collect()}
+    got = {(r.id_a, r.id_b, round(r.jaccard, 9)) for r in ngramjoin.similar_pairs(frame(spark, rows), t=t, **small).collect()}
     assert got == brute_pairs(rows, t)
 
 
+def brute_classes(rows, t):
+    """(id, class, links, copies) of each row that has any; equal sets are one."""
+    sets = {}
+    for i, x, _ in rows:
+        if i is not None and x is not None and grams(x):
+            sets.setdefault(grams(x), []).append(i)
+    known = list(sets)
+    near = {a: [b for b in known if b is not a and len(a & b) / len(a | b) >= t] for a in known}
+    out = []
+    for a in known:
+        reach, todo = {a}, [a]
+        while todo:
+            for b in near[todo.pop()]:
+                if b not in reach:
+                    reach.add(b)
+                    todo.append(b)
+        if near[a] or len(sets[a]) > 1:
+            out += [(i, min(min(sets[b]) for b in reach), len(near[a]), len(sets[a]) - 1) for i in sets[a]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed,t,small", SMALL)
+def test_classes_match_brute_force(spark, seed, t, small):
+    rows = near_rows(seed)
+    got = sorted(tuple(r) for r in ngramjoin.near_duplicates(frame(spark, rows), t=t, **small).collect())
+    assert got == brute_classes(rows, t)
+
+
+def test_string_ids_and_clashing_columns(spark):
+    rows = near_rows(6, 30)
+    df = frame(spark, rows).selectExpr("concat('d', lpad(doc_id, 4, '0')) AS doc_id", "text", "source AS g", "h1 AS gone_id", "shard AS gone_hash", "lang AS k", "source AS h")
+    named = [(None if i is None else f"d{i:04d}", x, s) for i, x, s in rows]
+    got = sorted(tuple(r) for r in ngramjoin.near_duplicates(df).collect())
+    assert got == brute_classes(named, 0.5)
+    out = ngramjoin.one_of_each(df)
+    gone = {i for i, c, _, _ in got if i != c}
+    assert out.columns == df.columns and Counter(r.doc_id for r in out.collect()) == Counter(i for i, _, _ in named if i not in gone)
+
+
+def test_a_group_of_near_copies_is_counted_in_blocks(spark):
+    rng = random.Random(8)
+    base = ["v%d" % i for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(60)] = f"x{rng.randrange(5)}"
+        rows.append((i, " ".join(w), "s"))
+    rows += [(200 + i, rows[3][1], "s") for i in range(60)] + [(300, " ".join(base * 3000), "s"), (301, "a" * 3_000_000, "s")]
+    got = sorted(tuple(r) for r in ngramjoin.near_duplicates(frame(spark, rows), block=16, bucket_grams=500).collect())
+    assert got == brute_classes(rows, 0.5)
+
+
 def test_one_of_each_group_stays(spark):
     rows = near_rows(4)
     root = {}
@@ -145,13 +201,10 @@ def test_one_of_each_group_stays(spark):
 def test_trie_against_all_pairs():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(60)]
-    got = {(i, j): s for i, j, s in ngramjoin.trie_join(sets, 0.5)}
-    for j in range(60):
-        for i in range(j):
-            n = len(np.intersect1d(sets[i], sets[j]))
-            s = n / (len(sets[i]) + len(sets[j]) - n)
-            assert (s >= 0.5) == ((i, j) in got) and (s < 0.5 or abs(got[i, j] - s) < 1e-12)
-    assert ngramjoin.trie_join([], 0.5) == [] and list(ngramjoin.ordered_sets(pa.array(["", None]), 3))[0].size == 0
+    got = {(i, int(j)): int(n) for i, js, shared in ngramjoin.trie_join(sets, 0.5) for j, n in zip(js, shared)}
+    want = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(60) for j in range(60) if i != j}
+    assert got == {(i, j): n for (i, j), n in want.items() if n / (len(sets[i]) + len(sets[j]) - n) >= 0.5}
+    assert list(ngramjoin.gram_sets(pa.array(["", None]), 3))[0].size == 0
 
 
 # mixing
