@@ -1,11 +1,13 @@
 """Byte-level BPE by recursive DuckDB queries, one in-process database per Spark partition.
 
 Encoding: pieces of the pre-tokeniser become token-position rows; a recursive query joins neighbouring rows with the
-merge table and contracts, in each word, the leftmost pair of least rank until no pair can be merged. Decoding: an
+merge table and contracts, in each word, the leftmost pair of least rank until no pair can be merged. A word is contracted in
+runs of 64 bytes, whose tokens are then joined: where two runs' tokens don't stand next to each other, those around the
+border are contracted anew. So text without a blank takes memory and time in proportion to its length. Decoding: an
 ordered aggregation joins the bytes of a document's tokens.
 
 Results for odd input: a null text has null tokens and null decoded text, an empty text has an empty list and an empty
-string. Repeated rows are kept, each with its own result. Other columns of the input aren't read.
+string; a text may be of any length, with or without blanks. Repeated rows are kept, each with its own result. Other columns of the input aren't read.
 """
 
 from __future__ import annotations
@@ -27,40 +29,23 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 ODD = re.compile(r"\s \s|\s \Z").search
 #: Entries of the piece and chunk caches of a partition at which they are emptied; results don't depend on it.
 CACHE_ENTRIES = 400_000
-#: Bytes of a piece from which the query for long pieces is used.
-LONG = 512
-#: Pieces in a recursive query.
-PIECES = 20_000
+#: A piece is contracted in runs of so many bytes.
+RUN = 64
+#: Bytes in a recursive query, and its rounds; what isn't at its end after those goes on in another.
+QUERY_BYTES, ROUNDS = 100_000, 64
 
-_SHORT_SQL = """
+_CONTRACT_SQL = f"""
 WITH RECURSIVE s(i, g, t) AS (
   SELECT 0, g, t FROM tokens_in
   UNION ALL
-  (WITH pairs AS (SELECT g, t, lead(t) OVER o AS nt, lead(g) OVER o AS ng FROM s WINDOW o AS (ORDER BY g)),
-   fit AS (SELECT p.g, p.ng, m.n::BIGINT << 20 | (p.g & 1048575) AS k
-           FROM pairs p JOIN merges m ON p.t = m.l AND p.nt = m.r WHERE p.g >> 20 = p.ng >> 20),
-   least AS (SELECT g >> 20 AS w, min(k) AS k, arg_min(ng, k) AS ng FROM fit GROUP BY g >> 20)
-   SELECT i + 1, s.g, CASE WHEN s.g & 1048575 = k & 1048575 THEN (k >> 20)::INT ELSE t END
-   FROM s JOIN least ON s.g >> 20 = least.w WHERE s.g <> least.ng)
+  (WITH pairs AS (SELECT i, g, t, lead(t) OVER o AS nt, lead(g) OVER o AS ng FROM s WINDOW o AS (ORDER BY g)),
+   fit AS (SELECT p.g, p.ng, m.n::BIGINT << 32 | (p.g & 4294967295) AS k
+           FROM pairs p JOIN merges m ON p.t = m.l AND p.nt = m.r WHERE p.g >> 32 = p.ng >> 32 AND p.i < {ROUNDS}),
+   least AS (SELECT g >> 32 AS w, min(k) AS k, arg_min(ng, k) AS ng FROM fit GROUP BY g >> 32)
+   SELECT i + 1, s.g, CASE WHEN s.g & 4294967295 = k & 4294967295 THEN (k >> 32)::INT ELSE t END
+   FROM s JOIN least ON s.g >> 32 = least.w WHERE s.g <> least.ng)
 ) SELECT i, g, t FROM s"""
 
-# Contracting all occurrences of a word's least pair at once, left to right, ends in the same tokens as one at a time:
-# a merge that makes a token always ranks below the merges that use it.
-_LONG_SQL = """
-WITH RECURSIVE s(w, p, t) USING KEY (w, p) AS (
-  SELECT w, p, t FROM tokens_in
-  UNION
-  (WITH pairs AS (SELECT w, p, t, lead(t) OVER o AS nt, lead(p) OVER o AS np FROM recurring.s AS alive
-                  WHERE t >= 0 AND w IN (SELECT w FROM s) WINDOW o AS (PARTITION BY w ORDER BY p)),
-   fit AS (SELECT x.w, x.p, x.np, m.n, min(m.n) OVER (PARTITION BY x.w) AS least
-           FROM pairs x JOIN merges m ON x.t = m.l AND x.nt = m.r),
-   hit AS (SELECT w, p, np, n, CASE WHEN lag(np) OVER (PARTITION BY w ORDER BY p) = p THEN 0 ELSE 1 END AS fresh
-           FROM fit WHERE n = least),
-   run AS (SELECT *, sum(fresh) OVER (PARTITION BY w ORDER BY p) AS r FROM hit),
-   turn AS (SELECT *, row_number() OVER (PARTITION BY w, r ORDER BY p) AS q FROM run)
-   SELECT w, p, n FROM turn WHERE q % 2 = 1 UNION ALL SELECT w, np, -1 FROM turn WHERE q % 2 = 1)
-) SELECT w, p, t FROM s WHERE t >= 0 ORDER BY w, p"""
-
 _DECODE_SQL = """
 SELECT doc, string_agg(b, '' ORDER BY pos) AS s FROM doc_tokens JOIN vocab USING (t) GROUP BY doc"""
 
@@ -112,6 +97,8 @@ class Codec:
         shown = [t.decode("latin-1").replace("\0", "Ā") for t in ranks]
         self._load("vocab", {"t": pa.array(list(ranks.values()), int32), "b": pa.array(shown)})
         self.byte_rank = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.bytes_of = {i: t for t, i in ranks.items()}
+        self.stands: dict[tuple[int, int], bool] = {}
         self.find = regex.compile(PATTERN).findall
         self.cache_entries = cache_entries
         self._clear()
@@ -127,38 +114,88 @@ class Codec:
         self.chunks: dict[str, int] = {}
         self.piece_table = self.chunk_table = _EMPTY
 
+    def _contract(self, words: list[np.ndarray]) -> list[np.ndarray]:
+        """Words of tokens, contracted until no pair of any can be merged."""
+        out, todo = list(words), [i for i, x in enumerate(words) if len(x) > 1]
+        while todo:
+            ends = np.cumsum([len(out[i]) for i in todo])
+            at, later = 0, []
+            while at < len(todo):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + QUERY_BYTES, side="right")))
+                ids = todo[at:stop]
+                n = np.array([len(out[i]) for i in ids], np.int64)
+                w = np.repeat(np.arange(len(ids), dtype=np.int64), n)
+                p = np.arange(len(w), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
+                self.con.register("tokens_in", pa.table({"g": w << 32 | p, "t": np.concatenate([out[i] for i in ids])}))
+                got = self.con.sql(_CONTRACT_SQL).to_arrow_table()
+                self.con.unregister("tokens_in")
+                i, g, t = (got[c].to_numpy() for c in ("i", "g", "t"))
+                last = np.zeros(len(ids), i.dtype)
+                np.maximum.at(last, g >> 32, i)
+                k = i == last[g >> 32]  # what is left after a word's last contraction
+                g, t = g[k], t[k].astype(np.int32)
+                o = np.argsort(g)
+                for j, x in zip(ids, np.split(t[o], np.searchsorted(g[o] >> 32, np.arange(1, len(ids))))):
+                    out[j] = x
+                later += [ids[j] for j in np.flatnonzero(last == ROUNDS)]
+                at = stop
+            todo = later
+        return out
+
+    def _stand(self, pairs: set[tuple[int, int]]) -> None:
+        """Learn of each pair of tokens whether they stay as they are next to each other."""
+        fresh = [p for p in pairs if p not in self.stands]
+        words = self._contract([self.byte_rank[np.frombuffer(self.bytes_of[a] + self.bytes_of[b], np.uint8)] for a, b in fresh])
+        self.stands.update((p, tuple(x.tolist()) == p) for p, x in zip(fresh, words))
+
+    def _stitch(self, parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """Tokens of texts whose consecutive runs have the tokens ``parts``. A list of tokens is that of its text if each two
+        neighbours stay as they are when contracted alone: the first merge across a border would be made in the two as well.
+        Where two runs meet otherwise, the tokens around are made anew, more and more of them until both ends stand."""
+        while any(len(p) > 1 for p in parts):
+            jobs = [(i, j) for i, p in enumerate(parts) for j in range(0, len(p) - 1, 2)]
+            self._stand({(int(parts[i][j][-1]), int(parts[i][j + 1][0])) for i, j in jobs})
+            done: dict[tuple[int, int], np.ndarray] = {}
+            todo = []
+            for i, j in jobs:
+                a, b = parts[i][j], parts[i][j + 1]
+                if self.stands[int(a[-1]), int(b[0])]:
+                    done[i, j] = np.concatenate([a, b])
+                else:
+                    todo.append((i, j))
+            around = 2
+            while todo:
+                raw = [np.concatenate([np.frombuffer(self.bytes_of[int(t)], np.uint8) for t in (*parts[i][j][-around:], *parts[i][j + 1][:around])]) for i, j in todo]
+                mid = self._contract([self.byte_rank[x] for x in raw])
+                ends = []
+                for (i, j), x in zip(todo, mid):
+                    a, b = parts[i][j], parts[i][j + 1]
+                    ends.append(([(int(a[-around - 1]), int(x[0]))] if len(a) > around else []) + ([(int(x[-1]), int(b[around]))] if len(b) > around else []))
+                self._stand({p for e in ends for p in e})
+                later = []
+                for (i, j), x, e in zip(todo, mid, ends):
+                    if all(self.stands[p] for p in e):
+                        done[i, j] = np.concatenate([parts[i][j][:-around], x, parts[i][j + 1][around:]])
+                    else:
+                        later.append((i, j))
+                todo, around = later, around * 2
+            parts = [[done[i, j] if j + 1 < len(p) else p[j] for j in range(0, len(p), 2)] for i, p in enumerate(parts)]
+        return [p[0] for p in parts]
+
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat tokens of the pieces and their number by piece, by the recursive queries."""
-        raw = [p.encode() for p in pieces]
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        where, order, tokens = [], [], []  # piece, place within it, token
-        short = np.flatnonzero(size < LONG)
-        for at in range(0, len(short), PIECES):
-            ids = short[at : at + PIECES]
-            n = size[ids]
-            data = np.frombuffer(b"".join([raw[i] for i in ids]), np.uint8)
-            w = np.repeat(np.arange(len(ids), dtype=np.int64), n)
-            p = np.arange(len(data), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
-            self.con.register("tokens_in", pa.table({"g": w << 20 | p, "t": self.byte_rank[data]}))
-            got = self.con.sql(_SHORT_SQL).to_arrow_table()
-            self.con.unregister("tokens_in")
-            i, g, t = (got[c].to_numpy() for c in ("i", "g", "t"))
-            w = g >> 20
-            last = np.zeros(len(ids), i.dtype)
-            np.maximum.at(last, w, i)
-            k = i == last[w]  # what is left after a piece's last contraction
-            where.append(ids[w[k]]), order.append(g[k]), tokens.append(t[k].astype(np.int32))
-        for j in np.flatnonzero(size >= LONG):
-            data = np.frombuffer(raw[j], np.uint8)
-            self.con.register("tokens_in", pa.table({"w": np.zeros(len(data), np.int32), "p": np.arange(len(data), dtype=np.int32), "t": self.byte_rank[data]}))
-            t = self.con.sql(_LONG_SQL).to_arrow_table()["t"].to_numpy().astype(np.int32)
-            self.con.unregister("tokens_in")
-            where.append(np.full(len(t), j)), order.append(np.arange(len(t))), tokens.append(t)
-        if not where:
-            return self.byte_rank[:0], size
-        at, place, flat = map(np.concatenate, (where, order, tokens))
-        o = np.lexsort((place, at))
-        return flat[o], np.bincount(at, minlength=len(raw))
+        if len(self.stands) > self.cache_entries:
+            self.stands.clear()
+        runs: dict[bytes, int] = {}
+        cut = []
+        for p in pieces:
+            raw = p.encode()
+            cut.append([runs.setdefault(raw[a : a + RUN], len(runs)) for a in range(0, len(raw), RUN)])
+        made = self._contract([self.byte_rank[np.frombuffer(r, np.uint8)] for r in runs])
+        long = [i for i, c in enumerate(cut) if len(c) > 1]
+        whole = dict(zip(long, self._stitch([[made[r] for r in cut[i]] for i in long])))
+        tokens = [whole[i] if i in whole else made[c[0]] for i, c in enumerate(cut)]
+        return np.concatenate(tokens) if tokens else self.byte_rank[:0], np.array([len(t) for t in tokens], np.int64)
 
     def _split(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
         """Pieces of chunks that each follow a blank, one after another, and their number by chunk. No chunk holds a

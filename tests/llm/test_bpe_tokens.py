@@ -78,8 +78,31 @@ def test_token_counts_of_nothing(spark):
     assert tokencount.token_counts(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a" * 5000, "ab" * 1500])
-def test_long_piece(text):
-    codec = bpe.Codec(RANKS)
+LONG = {
+    "letters": "".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000)),
+    "one letter": "a" * 3_000_000,
+    "signs": "".join(random.Random(2).choice("-=_*#") for _ in range(20_000)),
+    "wide": "".join(random.Random(3).choice("日本語テキスト") for _ in range(9_000)),
+    "two letters": "".join(random.Random(4).choice("ab") for _ in range(20_000)),
+    "blanks": " " * 5001 + "\n" * 777 + "x",
+} | {f"period {n}": ("abcdefgh"[:n] * 3000)[: 7000 + n] for n in (1, 2, 3, 5, 7)}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_unbroken_text(name):
+    codec, text = bpe.Codec(RANKS), LONG[name]
     flat, n = codec.encode([text])
     assert flat.tolist() == encoding().encode_ordinary(text) and codec.decode(flat, n) == [text]
+
+
+def test_runs_and_rounds_of_any_size(monkeypatch):
+    """Short runs and queries that stop after few rounds end in the same tokens."""
+    texts = ["", "a", "It's  two   blanks ", "日本語のテキスト", "aaaa" * 9, "unbelievable 1234567"]
+    want = [encoding().encode_ordinary(t) for t in texts]
+    for run, rounds in ((1, 64), (3, 2)):
+        monkeypatch.setattr(bpe, "RUN", run)
+        monkeypatch.setattr(bpe, "ROUNDS", rounds)
+        monkeypatch.setattr(bpe, "_CONTRACT_SQL", bpe._CONTRACT_SQL.replace("p.i < 64", f"p.i < {rounds}"))
+        flat, n = bpe.Codec(RANKS).encode(texts)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want
+        monkeypatch.undo()
