@@ -1,19 +1,21 @@
-"""Approximate nearest neighbours: inverted file of coarse centroids with product-quantised residuals. Every vector is a
-query; similarity is the cosine.
+"""Approximate nearest neighbours: inverted file of coarse centroids with product-quantised residuals, asymmetric distance
+tables and exact reranking. Similarity is the cosine; the queries are given vectors of the table, or all.
 
-Coarse centroids (about the square root of the number of vectors) and the codebooks of residuals are trained by Lloyd steps
-over all vectors; only the starting points are a sample. A vector is kept as its list and one byte for each subspace. For
-a query the score of a vector in a probed list is the query's product with the list's centroid plus one entry of the query's
-asymmetric distance table for each subspace. The best ``rerank`` of a group of lists are compared exactly, in float64, and
-so is every other vector whose score, with the length of what its code leaves out, reaches the k-th best of those: a score
-is off by that length at most, so nothing in a probed list is lost, and equal scores rank by id.
+The index is fitted on ``sample`` vectors at most (and 16 million numbers), taken by hash of the id: coarse centroids, about the
+square root of the number of vectors and no more than a sixteenth of the sample, and codebooks of residuals. Every vector is then
+indexed, once: the written index has its list, one byte a subspace, the length of what its code leaves out, and the vector.
+
+A query goes to the lists that it probes, so what moves grows with queries and probes. There the score of a vector is the
+query's product with the list's centroid plus one entry of the query's distance table for each subspace. The best ``rerank`` are
+compared exactly, in float64, and so is every other vector whose score, with what its code leaves out, reaches the k-th best of
+those: a score is off by that at most, so nothing in a probed list is lost, and equal scores rank by id. A list longer than
+``chunk`` vectors is searched in parts, each by a task.
 
 How many lists are probed is measured, not set: for ``calibration`` vectors the exact neighbours are found over all
 vectors, and the least number of lists that holds a share ``recall`` of them is taken. As the lists are searched without
-loss, that share is the recall of the result. Vectors without cluster structure need
-many lists, clustered ones few. Query shards follow the lists, so that with few probes a shard meets few groups.
+loss, that share is the recall of the result. Vectors without cluster structure need many lists, clustered ones few.
 
-(id, neighbour, rank, score): score to 6 decimals. Results for odd input: as ``vectors.clean`` leaves out or joins
+(id, neighbour, rank, score): score to 6 decimals. Results for odd input: as ``vectors.by_length`` leaves out or joins
 rows; with fewer than k others a query has fewer rows; an empty table gives no rows. Other columns aren't read.
 """
 
@@ -32,7 +34,6 @@ from pyspark.sql.window import Window
 from . import vectors as V
 from ._shared import written
 
-
 #: Bound on the error of float32 scores of unit vectors, with the rounding of reported ones.
 _ERROR = 2e-5
 
@@ -48,16 +49,17 @@ class Index:
     def nearest_list(self, x: np.ndarray) -> np.ndarray:
         return _nearest(x, self.centroids)
 
-    def codes(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        rest = _spread(x - self.centroids[lists], self.books)
-        return np.stack([_nearest(rest[:, m], self.books[m]) for m in range(len(self.books))], axis=1).astype(np.uint8)
-
-    def left_out(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Distance of each vector from what its list and codes stand for."""
+    def codes(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, and the distance of each vector from what its list and codes stand for."""
         rest = _spread(x - self.centroids[lists], self.books)
+        codes = np.stack([_nearest(rest[:, m], self.books[m]) for m in range(len(self.books))], axis=1).astype(np.uint8)
         for m in range(len(self.books)):
             rest[:, m] -= self.books[m][codes[:, m]]
-        return np.sqrt((rest**2).sum((1, 2)))
+        return codes, np.sqrt((rest**2).sum((1, 2)))
+
+    def probed(self, q: np.ndarray) -> np.ndarray:
+        """(queries, probes): the lists that each query probes."""
+        return V.top_places(q @ self.centroids.T, self.probes)
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray, step: int = 8192) -> np.ndarray:
@@ -71,200 +73,134 @@ def _spread(x: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, m * w - x.shape[1]))).reshape(len(x), m, w)
 
 
-def _sums(labels: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-    """(n, d + 1): sum of the rows with each label, and their number."""
-    out = np.zeros((n, x.shape[1] + 1))
-    o = np.argsort(labels, kind="stable")
-    cut = np.flatnonzero(np.append(True, np.diff(labels[o]) != 0)) if len(o) else []
-    if len(o):
-        out[labels[o][cut], :-1] = np.add.reduceat(x[o], cut, axis=0)
-        out[labels[o][cut], -1] = np.diff(np.append(cut, len(o)))
-    return out
+def _lloyd(x: np.ndarray, centroids: np.ndarray, steps: int) -> np.ndarray:
+    for _ in range(steps):
+        at = _nearest(x, centroids)
+        o = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(at[o]) != 0))
+        centroids = centroids.copy()
+        centroids[at[o][first]] = np.add.reduceat(x[o], first, axis=0) / np.diff(np.append(first, len(o)))[:, None]
+    return centroids
 
 
-def _total(packed: DataFrame, d: int, of, shape: tuple[int, ...]) -> np.ndarray:
-    """Sum over all shards of an array that ``of`` makes of a shard's vectors."""
-    size = math.prod(shape)
+def train(x: np.ndarray, lists: int, width: int, coarse_steps: int, fine_steps: int) -> Index:
+    """Centroids and codebooks of a sample of unit vectors, by Lloyd steps."""
+    d = x.shape[1]
+    words = min(256, len(x))
+    books = np.zeros((math.ceil(d / width), words, width), np.float32)
+    c = _lloyd(x, x[:lists], coarse_steps)
+    rest = _spread(x - c[_nearest(x, c)], books)
+    for m in range(len(books)):
+        books[m] = _lloyd(rest[:, m], rest[:words, m], fine_steps)
+    return Index(c, books)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(shape)
-        for batch in batches:
-            for r in range(batch.num_rows):
-                have += of(V.unpack(batch.column("ids")[r], batch.column("xs")[r], d)[1].astype(np.float32))
-        at = np.flatnonzero(have.ravel())
-        for a in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 100_000]), pa.array(have.ravel()[at[a : a + 100_000]])], ["i", "v"])
-
-    got = packed.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(size)
-    out[got["i"].to_numpy()] = got["v"].to_numpy()
-    return out.reshape(shape)
-
-
-def _moved(total: np.ndarray, old: np.ndarray) -> np.ndarray:
-    n = total[..., -1:]
-    return np.where(n > 0, total[..., :-1] / np.maximum(n, 1), old).astype(np.float32)
-
-
-def train(packed: DataFrame, x: DataFrame, d: int, lists: int, width: int, coarse_steps: int, fine_steps: int) -> Index:
-    """Centroids and codebooks by Lloyd steps over all vectors of ``packed``."""
-    need = max(lists, 256)
-    rows = x.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(need).collect()
-    start = np.array([r.x for r in rows])
-    start = (start / np.sqrt((start**2).sum(1))[:, None]).astype(np.float32)
-    c = start[:lists].copy()
-    for _ in range(coarse_steps):
-        c = _moved(_total(packed, d, lambda v, c=c: _sums(_nearest(v, c), v, len(c)), (len(c), d + 1)), c)
-    m = math.ceil(d / width)
-    words = min(256, len(start))
-    books = np.zeros((m, words, width), np.float32)
-    index = Index(c, books)
-    books[:] = _spread(start - c[index.nearest_list(start)], books)[:words].transpose(1, 0, 2)
-    for _ in range(fine_steps):
-
-        def of(v: np.ndarray, index: Index = index) -> np.ndarray:
-            at = index.nearest_list(v)
-            code, rest = index.codes(v, at), _spread(v - index.centroids[at], index.books)
-            return np.stack([_sums(code[:, j].astype(int), rest[:, j], words) for j in range(m)])
-
-        index = Index(c, _moved(_total(packed, d, of, (m, words, width + 1)), index.books))
-    return index
-
-
-def probes_for(packed: DataFrame, x: DataFrame, d: int, index: Index, k: int, recall: float, calibration: int) -> int:
-    """Least number of lists that holds a share ``recall`` of the exact neighbours of ``calibration`` vectors."""
-    rows = x.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(calibration).collect()
-    q = np.array([r.x for r in rows])
-    q = q / np.sqrt((q**2).sum(1))[:, None]
-    own = np.array([r.id for r in rows])
+
+def probes_for(indexed: DataFrame, sample: np.ndarray, ids: np.ndarray, d: int, index: Index, k: int, recall: float, calibration: int) -> int:
+    """Least number of lists that holds a share ``recall`` of the exact neighbours of ``calibration`` vectors over all vectors."""
+    q, own = sample[-calibration:], ids[-calibration:]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, v = V.unpack(batch.column("ids")[r], batch.column("xs")[r], d)
+                its, v = V.unpack(batch.column("ids")[r], batch.column("xs")[r], d)
                 p = np.round(q @ v.T, V.PLACES)
-                p[own[:, None] == ids[None]] = -np.inf
-                who, at = _first(p, k)
-                lists = index.nearest_list(v[at].astype(np.float32))
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids[at]), pa.array(p[who, at]), pa.array(lists)], ["id", "neighbour", "score", "l"])
+                p[own[:, None] == its[None]] = -np.inf
+                who, at = V.first_places(p, k)
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(its[at]), pa.array(p[who, at]), pa.array(np.full(len(at), batch.column("l")[r].as_py()))], ["id", "neighbour", "score", "l"])
 
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "neighbour"))
-    got = packed.mapInArrow(run, V.PAIR + ", l long").withColumn("rank", rank).where(F.col("rank") <= k).select("id", "l").toArrow()  # k rows a calibration vector
-    score = q.astype(np.float32) @ index.centroids.T
-    place = np.argsort(np.argsort(-score, axis=1), axis=1)
+    got = indexed.mapInArrow(run, V.PAIR + ", l long").withColumn("rank", rank).where(F.col("rank") <= k).select("id", "l").toArrow()  # k rows a calibration vector
+    place = np.argsort(np.argsort(-(q.astype(np.float32) @ index.centroids.T), axis=1), axis=1)
     rank = np.sort(place[got["id"].to_numpy(), got["l"].to_numpy()])
     return int(rank[min(len(rank) - 1, math.ceil(recall * len(rank)))]) + 1 if len(rank) else 1
 
 
-def neighbours(table: DataFrame, k: int = 10, recall: float = 0.96, calibration: int = 256, rerank: int = 128, width: int = 4, shard_rows: int = 8192, coarse_steps: int = 4, fine_steps: int = 3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """About the k nearest neighbours of every vector."""
-    spark = table.sparkSession
-    x, d, n = V.clean(table, id_col, vec_col)
-    if n < 2:
-        return V.best(spark.createDataFrame([], V.PAIR), k, id_col)
-    shards = V.number_of_shards(n, shard_rows)
-    packed = V.pack(x, F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), shards, d, "ann-vectors")
-    index = train(packed, x, d, max(1, round(math.sqrt(n))), width, coarse_steps, fine_steps)
-    index.probes = probes_for(packed, x, d, index, k, recall, calibration)
-    held = spark.sparkContext.broadcast(index)  # sqrt(n) centroids and 256 words a subspace
+def neighbours(table: DataFrame, k: int = 10, queries=None, recall: float = 0.96, calibration: int = 256, sample: int = 65_536, rerank: int = 128, width: int = 4, chunk: int = 8192, coarse_steps: int = 6, fine_steps: int = 6, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """About the k nearest neighbours of every vector whose id, column ``id``, meets the condition ``queries`` (SQL); all without one."""
+    found = [_search(x, d, n, k, queries, recall, calibration, sample, rerank, width, chunk, coarse_steps, fine_steps) for x, d, n in V.by_length(table, id_col, vec_col) if n > 1]
+    return V.best(V.union(table.sparkSession, found), k, id_col)
+
+
+def _search(x: DataFrame, d: int, n: int, k: int, queries, recall: float, calibration: int, sample: int, rerank: int, width: int, chunk: int, coarse_steps: int, fine_steps: int) -> DataFrame:
+    spark = x.sparkSession
+    some = x.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(max(1, min(sample, (1 << 24) // d))).toArrow()
+    ids = some["id"].to_numpy()
+    start = V.unit(some["x"].combine_chunks().flatten().to_numpy().reshape(-1, d))
+    index = train(start.astype(np.float32), max(1, min(round(math.sqrt(n)), len(start) // 16)), width, coarse_steps, fine_steps)
+    fitted = spark.sparkContext.broadcast(index)  # at most a sixteenth of the sample and 256 words a subspace
+    chunk = max(1, min(chunk, (1 << 22) // d))
 
     def enlist(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                ids, v = V.unpack(batch.column("ids")[r], batch.column("xs")[r], d)
-                at = held.value.nearest_list(v.astype(np.float32)).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, d, dtype=np.int32)), pa.array(v.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(at), flat], ["id", "l", "x"])
-
-    listed = written(packed.mapInArrow(enlist, "id long, l int, x array<double>"), "ann-listed")
-    # lists in a row make a group; a list larger than a group is dealt over several
-    sizes = np.zeros(len(index.centroids), int)
-    for r in listed.groupBy("l").count().collect():  # one row a list
-        sizes[r.l] = r["count"]
-    parts = np.maximum(1, -(-sizes // shard_rows))
-    group = (np.cumsum(sizes // parts) - sizes // parts) // shard_rows
-    base = np.zeros(len(sizes), int)
-    top = 0
-    for g in range(int(group.max()) + 1):
-        base[group == g] = top
-        top += int(parts[group == g].max(initial=1))
-    where = spark.createDataFrame([(i, int(b), int(p)) for i, (b, p) in enumerate(zip(base, parts))], "l int, base int, parts int")
-    grouped = listed.join(where, "l").select("id", "x", (F.col("base") + F.pmod(F.xxhash64("id"), F.col("parts").cast("long"))).cast("int").alias("g"))
-    groups = V.pack(grouped, F.col("g"), top, d, "ann-groups")
-
-    def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups that hold a list that some query of the shard probes."""
+            v = batch.column("x").flatten().to_numpy().reshape(-1, d)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), pa.array(fitted.value.nearest_list(V.unit(v).astype(np.float32)).astype(np.int32))], ["id", "x", "l"])
+
+    listed = written(x.mapInArrow(enlist, "id long, x array<double>, l int"), "ann-listed")
+    sizes = listed.groupBy("l").count().select("l", F.ceil(F.col("count") / chunk).cast("int").alias("parts"))
+    sizes = F.broadcast(written(sizes, "ann-sizes"))  # one row a list, at most a sixteenth of the sample
+
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                _, q = V.unpack(batch.column("ids")[r], batch.column("xs")[r], d)
-                used = _probed(q.astype(np.float32), held.value).any(0)
-                to = sorted({int(b) + j for b, p in zip(base[used], parts[used]) for j in range(p)})
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("s")[r].as_py()] * len(to), pa.int32()), pa.array(to, pa.int32())], ["s", "s2"])
+                s, v = batch.column("s")[r].as_py(), V.unpack(batch.column("ids")[r], batch.column("xs")[r], d)[1]
+                codes, off = fitted.value.codes(v.astype(np.float32), np.full(len(v), s["l"]))
+                yield pa.RecordBatch.from_arrays([pa.array([s["l"]], pa.int32()), pa.array([s["part"]], pa.int32()), batch.column("ids").slice(r, 1), pa.array([codes.tobytes()]), pa.array([off.astype(np.float32).tobytes()]), batch.column("xs").slice(r, 1)], ["l", "part", "ids", "codes", "off", "xs"])
 
-    pairs = groups.mapInArrow(route, "s int, s2 int")
-    other = groups.select(F.col("s").alias("s2"), F.col("ids").alias("ids2"), F.col("xs").alias("xs2"))
-    met = groups.join(pairs, "s").join(other, "s2").repartition("s", "s2")
+    placed = listed.join(sizes, "l").select("id", "x", F.struct("l", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int").alias("part")).alias("s"))
+    indexed = written(V.packed(placed, "s", "struct<l:int,part:int>", V.number_of_shards(n, chunk), d).mapInArrow(build, "l int, part int, ids binary, codes binary, off binary, xs binary"), "ann-index")
+    index.probes = probes_for(indexed, start, ids, d, index, k, recall, calibration)
+    held = spark.sparkContext.broadcast(index)
+
+    def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries, packed by the list that they go to."""
+        for batch in batches:
+            own, q = batch.column("id").to_numpy(), V.unit(batch.column("x").flatten().to_numpy().reshape(-1, d))
+            for a in range(0, len(own), 1024):
+                at = held.value.probed(q[a : a + 1024].astype(np.float32))
+                o = np.argsort(at.ravel(), kind="stable")
+                lists, who = at.ravel()[o], a + o // at.shape[1]
+                first = np.flatnonzero(np.append(True, np.diff(lists) != 0)) if len(o) else []
+                runs = [who[i:j] for i, j in zip(first, [*first[1:], len(o)])]
+                yield pa.RecordBatch.from_arrays([pa.array(lists[first].astype(np.int32)), pa.array([own[r].tobytes() for r in runs], pa.binary()), pa.array([q[r].tobytes() for r in runs], pa.binary())], ["l", "ids", "xs"])
+
+    asked = x.where(queries) if queries else x
+    asked = asked.mapInArrow(probe, "l int, ids binary, xs binary").join(sizes, "l")
+    asked = asked.select("l", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "ids", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("off"), "xs")
+    met = indexed.select("l", "part", F.lit(0).alias("kind"), "ids", "codes", "off", "xs").union(asked).repartition("l", "part").sortWithinPartitions("l", "part", "kind")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = None
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, q = V.unpack(batch.column("ids")[r], batch.column("xs")[r], d)
-                ids2, y = V.unpack(batch.column("ids2")[r], batch.column("xs2")[r], d)
-                small = y.astype(np.float32)
-                lists = held.value.nearest_list(small)
-                o = np.argsort(lists, kind="stable")
-                ids2, y, lists = ids2[o], y[o], lists[o]
-                codes = held.value.codes(small[o], lists)
-                off = held.value.left_out(small[o], lists, codes)
-                for a in range(0, len(q), 256):
-                    i, j = _closest(q[a : a + 256], ids[a : a + 256], y, ids2, lists, codes, off, held.value, rerank, k)
-                    s = np.round(V.exact(q, y, i + a, j), V.PLACES)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + a]), pa.array(ids2[j]), pa.array(s)], ["id", "neighbour", "score"])
-
-    return V.best(met.mapInArrow(search, V.PAIR), k, id_col)
-
-
-def _probed(q: np.ndarray, index: Index) -> np.ndarray:
-    """(queries, lists): whether a query probes a list."""
-    score = q @ index.centroids.T
-    if index.probes >= score.shape[1]:
-        return np.ones(score.shape, bool)
-    return score >= -np.partition(-score, index.probes - 1, axis=1)[:, index.probes - 1 : index.probes]
-
-
-def _first(p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k greatest of each row of p, of equal ones the first; those at minus infinity aren't found."""
-    if p.shape[1] > k:
-        least = np.take_along_axis(p, V.top_places(p, k), 1).min(1, keepdims=True)
-        more, equal = p > least, p == least
-        p = np.where(more | equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= k - more.sum(1, keepdims=True)), p, -np.inf)
-    return np.nonzero(p > -np.inf)
-
-
-def _closest(q: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, off: np.ndarray, index: Index, rerank: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vector) of the k best for each query among vectors of probed lists, of equal ones those of least id."""
+                ids, v = V.unpack(batch.column("ids")[r], batch.column("xs")[r], d)
+                if batch.column("kind")[r].as_py() == 0:
+                    codes = np.frombuffer(batch.column("codes")[r].as_buffer(), np.uint8).reshape(len(ids), -1)
+                    have = batch.column("l")[r].as_py(), ids, v, codes, np.frombuffer(batch.column("off")[r].as_buffer(), np.float32)
+                    continue
+                for a in range(0, len(ids), 256):
+                    i, j, s = _closest(ids[a : a + 256], v[a : a + 256], *have, held.value, rerank, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + i]), pa.array(have[1][j]), pa.array(s)], ["id", "neighbour", "score"])
+
+    return met.mapInArrow(search, V.PAIR)
+
+
+def _closest(own: np.ndarray, q: np.ndarray, l: int, ids: np.ndarray, y: np.ndarray, codes: np.ndarray, off: np.ndarray, index: Index, rerank: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, vector) and scores of the k best for each query among the vectors of a list, of equal ones those of least
+    id. ``ids`` ascend."""
     small = q.astype(np.float32)
-    probed = _probed(small, index).T  # (lists, queries)
-    rows = np.flatnonzero(probed[lists].any(1))
-    rows = rows[np.argsort(ids[rows])]
-    score = (index.centroids @ small.T)[lists[rows]]
-    tables = np.einsum("qmw,mcw->mcq", _spread(small, index.books), index.books, optimize=True)
-    tables = np.ascontiguousarray(tables, np.float32)
+    score = np.repeat((small @ index.centroids[l])[:, None], len(ids), axis=1)
+    tables = np.einsum("qmw,mcw->mqc", _spread(small, index.books), index.books, optimize=True).astype(np.float32)
     for m in range(len(tables)):
-        score += tables[m][codes[rows, m]]
-    score[~probed[lists[rows]]] = -np.inf
-    score[ids[rows][:, None] == own[None]] = -np.inf
-    score = np.ascontiguousarray(score.T)
+        score += tables[m][:, codes[:, m]]
+    score[own[:, None] == ids[None]] = -np.inf
     at = V.top_places(score, max(rerank, k))
-    if at.shape[1] >= k:
-        # the k-th best of those by exact comparison: what can't reach it by its score and its error is no neighbour
-        true = V.exact(q, y, np.repeat(np.arange(len(q)), at.shape[1]), rows[at.ravel()]).reshape(at.shape)
-        true[np.take_along_axis(score, at, 1) == -np.inf] = -np.inf
-        least = np.partition(true, -k, axis=1)[:, -k, None] - _ERROR
-        score[score + off[rows].astype(np.float32) < least] = -np.inf
-    near = score > -np.inf
+    # the k-th best of those by exact comparison: what can't reach it by its score and its error is no neighbour
+    true = V.exact(q, y, np.repeat(np.arange(len(q)), at.shape[1]), at.ravel()).reshape(at.shape)
+    true[np.take_along_axis(score, at, 1) == -np.inf] = -np.inf
+    least = np.partition(true, -k, axis=1)[:, -k, None] - _ERROR if at.shape[1] >= k else -np.inf
+    near = (score + off >= least) & (score > -np.inf)
     used = np.flatnonzero(near.any(0))
-    p = np.round(q @ y[rows[used]].T, V.PLACES)
+    p = np.round(q @ y[used].T, V.PLACES)
     p[~near[:, used]] = -np.inf
-    i, j = _first(p, k)
-    return i, rows[used[j]]
+    i, j = V.first_places(p, k)
+    return i, used[j], p[i, j]

@@ -17,44 +17,59 @@ PLACES = 6
 PAIR = "id long, neighbour long, score double"
 
 
-def clean(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int, int]:
-    """(id, x), the length of vectors and their number: one vector an id (the least of those with its id), without null ids and
-    without vectors that are null, zero, hold a null or a number that isn't finite, or are not of the most frequent length
-    (the greater of equally frequent ones)."""
+def by_length(vectors: DataFrame, id_col: str, vec_col: str) -> list[tuple[DataFrame, int, int]]:
+    """(id, x) with the length of its vectors and their number, for each length of vector: lengths are searched apart. One
+    vector an id (the least of those with its id), without null ids and without vectors that are null, empty, zero or
+    hold a null or a number that isn't finite. Ids are whole numbers; others raise ValueError."""
+    kind = vectors.select(col(id_col)).schema[0].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError(f"ids of vectors are whole numbers; column {id_col} is {kind}")
     x = vectors.select(col(id_col).cast("long").alias("id"), col(vec_col).cast("array<double>").alias("x")).where("id IS NOT NULL AND size(x) > 0")
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     x = x.where(~bad & F.exists("x", lambda v: v != 0))
     x = written(x.groupBy("id").agg(F.min("x").alias("x")), "vectors")
-    sizes = x.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    d, n = (sizes[0].d, sizes[0]["count"]) if sizes else (0, 0)
-    return x.where(F.size("x") == d), d, n
+    sizes = x.groupBy(F.size("x").alias("d")).count().orderBy("d").collect()  # one row a length of vector
+    return [(x.where(F.size("x") == r.d), r.d, r["count"]) for r in sizes]
 
 
-def pack(x: DataFrame, shard, shards: int, d: int, tag: str) -> DataFrame:
-    """(s, ids, xs): one row for each shard, with its ids in order and their unit vectors as float64."""
+def union(spark, found: list[DataFrame]) -> DataFrame:
+    out = spark.createDataFrame([], PAIR)
+    for x in found:
+        out = out.union(x)
+    return out
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+
+
+def packed(x: DataFrame, s: str, kind: str, partitions: int, d: int) -> DataFrame:
+    """(s, ids, xs): one row for each value of column ``s``, with its ids in order and their unit vectors as float64."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ids, xs = None, [], []
 
         def flush() -> pa.RecordBatch:
-            k, m = np.concatenate(ids), np.concatenate(xs).reshape(-1, d)
-            m = m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
-            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([k.tobytes()]), pa.array([m.tobytes()])], ["s", "ids", "xs"])
+            return pa.RecordBatch.from_arrays([last, pa.array([np.concatenate(ids).tobytes()]), pa.array([unit(np.concatenate(xs)).tobytes()])], ["s", "ids", "xs"])
 
         for batch in batches:
-            s, k, m = batch.column("s").to_numpy(), batch.column("id").to_numpy(), batch.column("x").flatten().to_numpy().reshape(-1, d)
-            cut = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else []
-            for a, b in zip(cut, [*cut[1:], len(s)]):
-                if s[a] != last and ids:
+            s, k, m = batch.column("s"), batch.column("id").to_numpy(), batch.column("x").flatten().to_numpy().reshape(-1, d)
+            parts = s.flatten() if pa.types.is_struct(s.type) else [s]
+            new = np.zeros(len(k), bool)
+            for p in parts:
+                new[1:] |= np.diff(p.to_numpy()) != 0
+            cut = [0, *np.flatnonzero(new)] if len(k) else []
+            for a, b in zip(cut, [*cut[1:], len(k)]):
+                if ids and s[a] != last[0]:
                     yield flush()
                     ids, xs = [], []
-                last = int(s[a])
-                ids.append(k[a:b]), xs.append(m[a:b].ravel())
+                last = s.slice(a, 1)
+                ids.append(k[a:b]), xs.append(m[a:b])
         if ids:
             yield flush()
 
-    placed = x.withColumn("s", shard).repartition(max(1, shards), "s").sortWithinPartitions("s", "id")
-    return written(placed.mapInArrow(run, "s int, ids binary, xs binary"), tag)
+    placed = x.withColumnRenamed(s, "s").repartition(max(1, partitions), "s").sortWithinPartitions("s", "id")
+    return placed.mapInArrow(run, f"s {kind}, ids binary, xs binary")
 
 
 def unpack(ids, xs, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +98,15 @@ def top_places(p: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-p, k - 1, axis=1)[:, :k]
 
 
+def first_places(p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k greatest of each row of p, of equal ones the first; those at minus infinity aren't found."""
+    if p.shape[1] > k:
+        least = np.take_along_axis(p, top_places(p, k), 1).min(1, keepdims=True)
+        more, equal = p > least, p == least
+        p = np.where(more | equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= k - more.sum(1, keepdims=True)), p, -np.inf)
+    return np.nonzero(p > -np.inf)
+
+
 def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, step: int = 200_000) -> np.ndarray:
     """Cosines of rows i of a and j of b in float64."""
     return np.concatenate([np.einsum("ij,ij->i", a[i[s : s + step]], b[j[s : s + step]]) for s in range(0, len(i), step)] or [np.zeros(0)])

@@ -8,9 +8,17 @@ SCHEMA = "vec_id long, embedding array<float>, s int, rank string, id string"
 
 
 def brute(rows, k):
+    """Each length of vector by itself."""
+    out = {}
+    for d in {len(v) for _, v in rows if v}:
+        out |= brute_length(rows, k, d)
+    return out
+
+
+def brute_length(rows, k, d):
     best = {}
     for i, v in rows:
-        if i is None or not v or any(x is None or not np.isfinite(x) for x in v) or not any(v) or len(v) != 8:
+        if i is None or not v or any(x is None or not np.isfinite(x) for x in v) or not any(v) or len(v) != d:
             continue
         v = tuple(float(np.float32(x)) for x in v)
         best[i] = min(best.get(i, v), v)
@@ -23,7 +31,8 @@ def brute(rows, k):
     out = {}
     for a, i in enumerate(ids):
         order = sorted((b for b in range(len(ids)) if b != a), key=lambda b: (-s[a, b], ids[b]))[:k]
-        out[i] = [(ids[b], round(float(s[a, b]), 6)) for b in order]
+        if order:
+            out[i] = [(ids[b], round(float(s[a, b]), 6)) for b in order]
     return out
 
 
@@ -32,7 +41,7 @@ def odd_rows(n=150):
     m = rng.normal(size=(n, 8)).round(3)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
     rows += [(n + i, rows[0][1]) for i in range(30)]  # ties
-    rows += [rows[1], (2, rows[3][1]), (None, rows[0][1]), (500, None), (501, []), (502, [0.0] * 8), (503, [1.0] * 7), (504, [1.0] * 7 + [None]), (505, [float("nan")] * 8), (506, [float("inf")] * 8)]
+    rows += [rows[1], (2, rows[3][1]), (None, rows[0][1]), (500, None), (501, []), (502, [0.0] * 8), (503, [1.0] * 7), (507, [1.0, 2.0] + [0.5] * 5), (508, [-1.0] * 7), (509, [2.0] * 3), (504, [1.0] * 7 + [None]), (505, [float("nan")] * 8), (506, [float("inf")] * 8)]
     return rows
 
 
@@ -53,6 +62,23 @@ def test_top_k_matches_brute_force(spark, k, shard_rows, blocks):
     assert found(topk.exact_top_k(frame(spark, rows), k=k, shard_rows=shard_rows, blocks=blocks)) == brute(rows, k)
 
 
+def test_queries_are_those_asked_for(spark):
+    rows = odd_rows()
+    want = brute(rows, 10)
+    got = found(topk.exact_top_k(frame(spark, rows), queries="id % 7 = 0", shard_rows=40))
+    assert got == {i: v for i, v in want.items() if i % 7 == 0}
+    near = found(ann.neighbours(frame(spark, rows), queries="id % 7 = 0", chunk=5))
+    assert set(near) == set(got) and all(len(near[i]) == len(v) for i, v in got.items())
+    assert topk.exact_top_k(frame(spark, rows), queries="id < 0").count() == 0 and ann.neighbours(frame(spark, rows), queries="id < 0").count() == 0
+
+
+def test_ids_are_whole_numbers(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0])], "vec_id string, embedding array<float>")
+    for f in (topk.exact_top_k, ann.neighbours):
+        with pytest.raises(ValueError, match="whole numbers"):
+            f(df)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, [1.0] * 8)], [(1, None)]])
 def test_few_rows(spark, rows):
     for f in (topk.exact_top_k, ann.neighbours):
@@ -78,9 +104,9 @@ def recall(spark, m, **kw):
 
 def test_recall_without_and_with_clusters(spark):
     rng = np.random.default_rng(1)
-    assert recall(spark, rng.normal(size=(1500, 30)), shard_rows=400) >= 0.9
+    assert recall(spark, rng.normal(size=(1500, 30)), chunk=40) >= 0.9
     centres = rng.normal(size=(20, 32)) * 4
-    assert recall(spark, centres[rng.integers(0, 20, 1500)] + rng.normal(size=(1500, 32)), shard_rows=400) >= 0.9
+    assert recall(spark, centres[rng.integers(0, 20, 1500)] + rng.normal(size=(1500, 32)), chunk=40) >= 0.9
 
 
 def test_odd_rows_and_ties(spark):
