@@ -1,4 +1,4 @@
-"""Exact self-join on n-gram Jaccard similarity: prefix filter over one global order, prefix-tree join.
+"""Exact self-join on n-gram Jaccard similarity: a prefix-tree join over one global order of n-grams.
 
 1. Each document becomes its set of word n-grams (words lower case, ASCII punctuation dropped). Documents with equal sets
    are one set from here on, known by digest and size.
@@ -7,8 +7,10 @@
    it, so that the n-grams of a group of near copies share a home. N-grams known to be in very many sets skip the
    buckets; each is its own home (a bounded broadcast names them, and decides places and homes alone, not the result).
 3. Back at its set, the shared n-grams are put in order. Similarity t with any other set takes ceil(t |x|) of them; sets
-   with fewer end here. Two similar sets share an n-gram among the first |x| - ceil(t |x|) + 1 of each, so a set goes, with
-   its n-grams, to the homes of those alone.
+   with fewer end here. Two sets of similarity t share t / (1 + t) (|x| + |y|) at least. So each may stay away from homes that
+   have fewer than t / (1 + t) of its own n-grams together, and a home is left where both go; those with the fewest are left
+   out. A set goes, with its n-grams, to the others, which for near copies is one or two however many n-grams they share with
+   other texts.
 4. At a home a trie stores the sets, commonest n-gram first, so that near copies share paths. One walk over the trie carries the
    overlap of all other sets with the path, and leaves a subtree where the lengths that remain on both sides can't reach t.
    A pair that meets at several homes counts at the least one. Links are counted and joined to classes there; pairs leave a
@@ -61,6 +63,11 @@ def least_shared(size, t: float):
     return np.ceil(t * np.asarray(size) - _EPS).astype(np.int64)
 
 
+def spare(size, t: float):
+    """N-grams that a set of this size can leave out of account: a pair of similarity t shares more than both together leave out."""
+    return np.ceil(t / (1 + t) * np.asarray(size) - _EPS).astype(np.int64) - 1
+
+
 def needed(a, b, t: float):
     """Least overlap at which sets of sizes a and b have similarity t."""
     return np.ceil(t / (1 + t) * (np.asarray(a) + np.asarray(b)) - _EPS)
@@ -213,14 +220,14 @@ class _Dealer:
 
 
 def _own_home(h: np.ndarray) -> np.ndarray:
-    return textvec.mix(h ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
+    return (textvec.mix(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
 
 
 class _Bucket:
     """What one bucket says of its n-grams, sent back to the sets."""
 
-    NAMES = "d keys sizes counts hi lo names homes"
-    SCHEMA = "d int, keys binary, sizes binary, counts binary, hi binary, lo binary, names binary, homes binary"
+    NAMES = "d b keys sizes counts step low mid homes"
+    SCHEMA = "d int, b binary, keys binary, sizes binary, counts binary, step binary, low binary, mid binary, homes binary"
 
     def __init__(self, b: int, rows: list[dict], hot: np.ndarray, dests: int):
         self.dests = dests
@@ -255,7 +262,7 @@ class _Bucket:
         who, x = (x & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), x >> bits
         start = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
         number = np.diff(np.append(start, len(x)))
-        home = np.minimum.reduceat(keys[who], start) if len(x) else keys[:0]
+        home = np.minimum.reduceat((keys.view(np.uint64) >> np.uint64(32)).astype(np.uint32)[who], start) if len(x) else np.zeros(0, np.uint32)
         several = number > 1
         who = who[_spans(start[several], number[several])]
         number, home = number[several], home[several]
@@ -275,9 +282,10 @@ class _Bucket:
                 w = who[lo:hi]
                 start = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
                 counts = np.diff(np.append(start, len(w))).astype(np.int32)
-                names, homes = np.unique(home[lo:hi], return_inverse=True)
                 p = place[lo:hi]
-                out.append((int(d[lo]), keys[w[start]].tobytes(), sizes[w[start]].tobytes(), counts.tobytes(), (p >> np.uint64(32)).astype(np.uint32).tobytes(), p.astype(np.uint32).tobytes(), names.tobytes(), homes.astype(np.uint32).tobytes()))
+                planes = (p >> np.uint64(48)).astype(np.uint8), p.astype(np.uint16), (p >> np.uint64(16)).astype(np.uint8), home[lo:hi]
+                b = (p[:1] >> np.uint64(24) & np.uint64(0xFFFFFF)).tobytes()
+                out.append((int(d[lo]), b, keys[w[start]].tobytes(), sizes[w[start]].tobytes(), counts.tobytes(), *(x.tobytes() for x in planes)))
         for a in range(0, len(out), 256):
             yield _packed(self.NAMES, out[a : a + 256])
 
@@ -286,49 +294,57 @@ _MET = "home long, part long, key long, size int, toks binary, less binary, side
 
 
 def _route(rows: list[dict], t: float, block: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sets with enough shared n-grams, one row for each home that n-grams of their prefix have."""
+    """Sets with enough shared n-grams, one row for each home that they go to."""
     import zstandard
 
     z = zstandard.ZstdCompressor(level=1)
     keys, sizes, counts = (_joined(rows, c, k) for c, k in (("keys", np.int64), ("sizes", np.int32), ("counts", np.int32)))
-    place = _joined(rows, "hi", np.uint32).astype(np.uint64) << np.uint64(32) | _joined(rows, "lo", np.uint32).astype(np.uint64)
-    home = np.concatenate([np.frombuffer(r["names"], np.int64)[np.frombuffer(r["homes"], np.uint32)] for r in rows] or [np.zeros(0, np.int64)])
+    bucket = np.repeat(_joined(rows, "b", np.uint64), [len(r["step"]) for r in rows])
+    step = _joined(rows, "step", np.uint8).astype(np.int64)
+    place = step.astype(np.uint64) << np.uint64(48) | bucket << np.uint64(24) | _joined(rows, "mid", np.uint8).astype(np.uint64) << np.uint64(16) | _joined(rows, "low", np.uint16)
+    home = _joined(rows, "homes", np.uint32)
     o = np.lexsort((sizes, keys))
     new = np.append(True, (keys[o][1:] != keys[o][:-1]) | (sizes[o][1:] != sizes[o][:-1]))[: len(o)]
     own = np.empty(len(keys), np.int64)
     own[o] = np.cumsum(new) - 1
     keys, sizes = keys[o[new]], sizes[o[new]]
     who = np.repeat(own, counts)
-    shared = np.bincount(who, minlength=len(keys))
-    least = least_shared(sizes, t)
-    k = (shared >= least)[who]
-    who, place, home = who[k], place[k], home[k]
+    k = (np.bincount(who, minlength=len(keys)) >= least_shared(sizes, t))[who]
+    who, place, home, step = who[k], place[k], home[k].astype(np.int64), step[k]
+    # n-grams in more sets than a block holds have their home apart by the step of their place, which gives the number of blocks
+    number = 2.0 ** ((step + 1) / _STEPS)
+    if len(hot):
+        number = np.where(step == _LAST, hot["n"][np.where(step == _LAST, place & np.uint64(0xFFFFFFFF), 0).astype(np.int64)], number)
+    blocks = np.ceil(np.maximum(number / block, 1)).astype(np.int64)
+    home = np.where(blocks > 1, textvec.mix((home + (step << 32)).view(np.uint64)).view(np.int64) | np.int64(1 << 62), home)
+    # homes of each set with the number of its n-grams there, the fewest first, as long as a pair can spare them
+    o = np.lexsort((home, who))
+    w, h = who[o], home[o]
+    first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (h[1:] != h[:-1]))) if len(o) else np.zeros(0, np.int64)
+    w, h, has, most = w[first], h[first], np.diff(np.append(first, len(o))), np.maximum.reduceat(blocks[o], first) if len(o) else blocks
+    o = np.lexsort((h, has, w))
+    before = np.concatenate([[0], np.cumsum(has[o])])
+    spent = before[1:] - before[np.searchsorted(w[o], w[o])]
+    goes = np.zeros(len(w), bool)
+    goes[o] = spent > spare(sizes[w[o]], t)
+    w, h, most = w[goes], h[goes], most[goes]  # by set and home
     o = np.lexsort((place, who))
-    who, place, home = who[o], place[o], home[o]
-    start = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
+    who, place = who[o], place[o]
     out = []
-    for lo, hi in zip(start, [*start[1:], len(who)]):
-        i = who[lo]
-        prefix = slice(lo, lo + int(shared[i] - least[i]) + 1)
-        # homes of n-grams in more sets than a block holds are apart by their place's step, which gives the number of blocks
-        step = (place[prefix] >> np.uint64(48)).astype(np.int64)
-        if len(hot):
-            number = np.where(step == _LAST, hot["n"][np.where(step == _LAST, place[prefix] & np.uint64(0xFFFFFFFF), 0).astype(np.int64)], 2.0 ** ((step + 1) / _STEPS))
-        else:
-            number = 2.0 ** ((step + 1) / _STEPS)
-        blocks = np.where(number > block, np.ceil(number / block), 1).astype(np.int64)
-        name = np.where(blocks > 1, textvec.mix(home[prefix].view(np.uint64) + step.astype(np.uint64)).view(np.int64), home[prefix])
-        name, first = np.unique(name, return_index=True)
-        p = place[lo:hi]
-        toks = z.compress((p >> np.uint64(32)).astype(np.uint32).tobytes() + p.astype(np.uint32).tobytes())
-        for j, (h, f) in enumerate(zip(name, first)):
-            n = int(blocks[f])
-            mine = int(textvec.mix(keys[i : i + 1].view(np.uint64))[0] % np.uint64(n))
-            for other in range(n):
-                out.append((h, min(mine, other) << 32 | max(mine, other), keys[i], sizes[i], toks, name[:j].tobytes(), mine))
-                if len(out) >= 4096:
-                    yield _met(out)
-                    out = []
+    lo, hi = np.searchsorted(who, w), np.searchsorted(who, w, side="right")
+    begin = np.searchsorted(w, w)
+    toks = b""
+    for i in range(len(w)):
+        if begin[i] == i:
+            p = place[lo[i] : hi[i]]
+            toks = z.compress((p >> np.uint64(32)).astype(np.uint32).tobytes() + p.astype(np.uint32).tobytes())
+        n = int(most[i])
+        mine = int(textvec.mix(keys[w[i] : w[i] + 1].view(np.uint64))[0] % np.uint64(n)) if n > 1 else 0
+        for other in range(n):
+            out.append((h[i], min(mine, other) << 32 | max(mine, other), keys[w[i]], sizes[w[i]], toks, h[begin[i] : i].tobytes(), mine))
+            if len(out) >= 4096:
+                yield _met(out)
+                out = []
     yield _met(out)
 
 
