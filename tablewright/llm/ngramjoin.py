@@ -120,7 +120,9 @@ class Trie:
             below = self.order[lo:hi]
             left = np.minimum(self.length - used, self.length[below].max() - end)
             fit = shared + left >= needed(sizes, sizes[below].min(), t)
-            if fit.sum() <= (1 if hi - lo == 1 else 0):
+            if hi - lo == 1:
+                fit[below[0]] = False
+            if not fit.any():
                 continue
             at = lo
             while at < hi and self.length[self.order[at]] == end:
@@ -251,15 +253,21 @@ class _Bucket:
         # equal sets come from several tasks; one counts
         o = np.lexsort((sizes, keys))
         new = np.append(True, (keys[o][1:] != keys[o][:-1]) | (sizes[o][1:] != sizes[o][:-1]))[: len(o)]
-        own = np.full(len(keys), -1, np.int64)
-        own[o[new]] = np.arange(int(new.sum()))
+        own = np.full(len(keys), -1, np.int32)
+        own[o[new]] = np.arange(int(new.sum()), dtype=np.int32)
         keys, sizes = keys[o[new]], sizes[o[new]]
         who = np.repeat(own, counts)
         bits = np.uint64(max(1, (len(keys) - 1).bit_length()))
-        x = _joined(rows, "lo", np.uint32).astype(np.uint64) | _joined(rows, "hi", np.uint8).astype(np.uint64) << np.uint64(32)
-        x = (x[who >= 0] << bits) | who[who >= 0].astype(np.uint64)
+        x = _joined(rows, "hi", np.uint8).astype(np.uint64)
+        x <<= np.uint64(32)
+        x |= _joined(rows, "lo", np.uint32)
+        x <<= bits
+        if (who < 0).any():
+            x, who = x[who >= 0], who[who >= 0]
+        x |= who.astype(np.uint64)
         x.sort()
-        who, x = (x & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), x >> bits
+        who = (x & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int32)
+        x >>= bits
         start = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
         number = np.diff(np.append(start, len(x)))
         home = np.minimum.reduceat((keys.view(np.uint64) >> np.uint64(32)).astype(np.uint32)[who], start) if len(x) else np.zeros(0, np.uint32)
@@ -509,7 +517,7 @@ def _pairs(t: float):
     return of
 
 
-def near_duplicates(docs: DataFrame, t: float = 0.5, n: int = 3, bucket_grams: int = 4_000_000, block: int = 4096, frequent: int = 1 << 20, hot_least: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, t: float = 0.5, n: int = 3, bucket_grams: int = 8_000_000, block: int = 4096, frequent: int = 1 << 20, hot_least: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, n_links, n_copies) of every document that has another of similarity t or more: the least id of those that
     links lead to, the number of different n-gram sets of similarity t, and the number of other documents with an equal set."""
     return _classes(docs, t, n, bucket_grams, block, frequent, hot_least, id_col, text_col).select(F.col("k").alias(id_col), "class_id", "n_links", "n_copies")
@@ -528,7 +536,7 @@ def _classes(docs: DataFrame, t: float, n: int, bucket_grams: int, block: int, f
     return join.seen.join(sets, ["g", "size"]).select("k", "h", "class_id", "n_links", "n_copies")
 
 
-def similar_pairs(docs: DataFrame, t: float = 0.5, n: int = 3, bucket_grams: int = 4_000_000, block: int = 4096, frequent: int = 1 << 20, hot_least: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_pairs(docs: DataFrame, t: float = 0.5, n: int = 3, bucket_grams: int = 8_000_000, block: int = 4096, frequent: int = 1 << 20, hot_least: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_a, id_b, jaccard), id_a < id_b: pairs of similarity t or more between the least ids of different sets, and each other
     id of a set with its least."""
     join = _Join(docs, t, n, bucket_grams, block, frequent, hot_least, id_col, text_col)
@@ -561,7 +569,7 @@ def components(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
 def one_of_each(docs: DataFrame, t: float = 0.5, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, without those of a class that aren't its least id: one of each class stays. Documents
     in no class stay, those with null ids, null texts and texts without a word among them. A document is known by its id and a hash of its text."""
-    gone = _classes(docs, t, n, 4_000_000, 4096, 1 << 20, 50_000, id_col, text_col).where("k <> class_id")
+    gone = _classes(docs, t, n, 8_000_000, 4096, 1 << 20, 50_000, id_col, text_col).where("k <> class_id")
     k, h = fresh(docs, "gone_id"), fresh(docs, "gone_hash")
     gone = gone.select(F.col("k").alias(k), F.col("h").alias(h)).distinct()
     return docs.join(gone, (col(id_col) == F.col(k)) & (F.xxhash64(col(text_col).cast("string")) == F.col(h)), "left_anti")

@@ -205,6 +205,13 @@ def test_trie_against_all_pairs():
     want = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(60) for j in range(60) if i != j}
     assert got == {(i, j): n for (i, j), n in want.items() if n / (len(sets[i]) + len(sets[j]) - n) >= 0.5}
     assert list(ngramjoin.gram_sets(pa.array(["", None]), 3))[0].size == 0
+    # of larger sets, of which the rest is in no other: a set that shares too little for its own size has a smaller partner
+    for _ in range(200):
+        sets = [np.unique(rng.integers(0, 14, rng.integers(6, 30))).astype(np.uint64) for _ in range(4)]
+        sizes = np.array([len(x) + int(rng.integers(0, len(x) + 1)) for x in sets])
+        got = {(i, int(j)) for i, js, _ in ngramjoin.trie_join(sets, 0.5, sizes) for j in js}
+        n = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(4) for j in range(4) if i != j}
+        assert got == {(i, j) for (i, j), c in n.items() if c / (sizes[i] + sizes[j] - c) >= 0.5}
 
 
 # mixing
