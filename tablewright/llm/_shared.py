@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,13 @@ _TEST_ROOTS: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """Folder that every executor reaches: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has none (local runs, tests) a temporary folder is made and set as checkpoint folder.
+    Only where a local session has none (tests) a temporary folder is made and set as checkpoint folder; on a cluster that raises.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _TEST_ROOTS:
         _TEST_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="tablewright-")
@@ -38,7 +41,30 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and survives lost executors."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for paths in _COLLECTED:
+        paths.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+_COLLECTED: list[list[str]] = []
+
+
+@contextmanager
+def collected():
+    """List of the folders that ``written`` makes meanwhile."""
+    paths: list[str] = []
+    _COLLECTED.append(paths)
+    try:
+        yield paths
+    finally:
+        _COLLECTED.remove(paths)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` made, once nothing reads it any more."""
+    drop_path(df.sparkSession, df.shared_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -9,21 +9,23 @@ number of blocks and the shards together hold each quota exactly. A source's per
 ranges that don't meet, and each shard shuffles its documents locally.
 
 Results for odd input: a null source is a source of its own; sources without a weight give nothing; rows with the same id
-and source are one document and travel together, at the same place; null ids are one document of their source. With an
-empty table the result is empty. Other columns pass through.
+and source are one document and travel together, at the same place; null ids are one document of their source. Equal
+hashes rank by id. Texts aren't read. With an empty table the result is empty. Other columns pass through, whatever their names but
+those of the two new ones.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._shared import col, written
+from ._shared import col, fresh, written
 
 _NULL = "\0null"
 
@@ -50,21 +52,44 @@ def quotas(counts: dict[str, int], weights: dict[str, float], slack: float = 0.0
     return {s: math.floor(min(counts[s], total * x + 1e-9)) for s, x in w.items()}
 
 
-def split_tree(blocks: list[int], shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source by shard: array (shards, sources) that sums to ``blocks``; shards differ by a block at most."""
-    out = np.zeros((shards, len(blocks)), np.int64)
-    todo = [(0, shards, np.asarray(blocks, np.int64))]
-    while todo:
-        lo, hi, have = todo.pop()
-        if hi - lo == 1:
-            out[lo] = have
-            continue
-        mid, total = (lo + hi) // 2, int(have.sum())
-        left = total // (hi - lo) * (mid - lo) + min(total % (hi - lo), mid - lo)
-        rng = np.random.Generator(np.random.Philox(key=np.array([seed, lo << 32 | hi], np.uint64)))
-        take = rng.multivariate_hypergeometric(have, left, method="marginals") if total else have
-        todo += [(lo, mid, take), (mid, hi, have - take)]
-    return out
+class SplitTree:
+    """Which shard gets which of a source's permuted blocks. A node's draw depends on the seed and the node alone, so any
+    task finds a block's shard from the root on, and no table of shards exists."""
+
+    def __init__(self, blocks: list[int], shards: int, seed: int, remember: int = 100_000):
+        self.blocks, self.shards, self.seed, self.remember = np.asarray(blocks, np.int64), shards, seed, remember
+        self.draws: dict[tuple[int, int], np.ndarray] = {}
+
+    def left(self, lo: int, hi: int, have: np.ndarray) -> np.ndarray:
+        """Blocks of each source that the shards from lo to the middle get, of those that the shards lo to hi have."""
+        got = self.draws.get((lo, hi))
+        if got is None:
+            mid, total = (lo + hi) // 2, int(have.sum())
+            number = total // (hi - lo) * (mid - lo) + min(total % (hi - lo), mid - lo)
+            rng = np.random.Generator(np.random.Philox(key=np.array([self.seed, lo << 32 | hi], np.uint64)))
+            got = rng.multivariate_hypergeometric(have, number, method="marginals") if total else have
+            if len(self.draws) >= self.remember:
+                self.draws.clear()
+            self.draws[lo, hi] = got
+        return got
+
+    def shard_of(self, source: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Shard of each (number of source, number of block in it)."""
+        out = np.zeros(len(source), np.int32)
+        todo = [(0, self.shards, self.blocks, np.arange(len(source)), np.asarray(block, np.int64))]
+        while todo:
+            lo, hi, have, at, b = todo.pop()
+            if hi - lo == 1:
+                out[at] = lo
+                continue
+            take = self.left(lo, hi, have)
+            first = b < take[source[at]]
+            mid = (lo + hi) // 2
+            if first.any():
+                todo.append((lo, mid, take, at[first], b[first]))
+            if not first.all():
+                todo.append((mid, hi, have - take, at[~first], (b - take[source[at]])[~first]))
+        return out
 
 
 def smoothed(counts: dict[str, int], power: float) -> dict[str, float]:
@@ -72,9 +97,13 @@ def smoothed(counts: dict[str, int], power: float) -> dict[str, float]:
     return {s: n**power for s, n in counts.items()}
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, shard_docs: int = 8192, block_docs: int = 32, seed: int = 11, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The documents of the sources' ``quotas``, all columns, with ``shard`` and ``position`` in the shard; each partition holds whole shards,
-    in order of position. Without ``weights`` they are the sources' sizes to ``power``."""
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, shard_docs: int = 8192, block_docs: int = 32, seed: int = 11, id_col: str = "doc_id", source_col: str = "source", shard_col: str = "shard", position_col: str = "position") -> DataFrame:
+    """The documents of the sources' ``quotas``, all columns, with ``shard_col`` and ``position_col``, the place in the shard; each
+    partition holds whole shards, in order of position. Without ``weights`` they are the sources' sizes to ``power``. Where the documents
+    have a column of either name ValueError is raised."""
+    taken = {c.lower() for c in docs.columns} & {shard_col.lower(), position_col.lower()}
+    if taken:
+        raise ValueError(f"the documents have columns {sorted(taken)}; give other names for shard_col and position_col")
     spark = docs.sparkSession
     src = F.coalesce(col(source_col).cast("string"), F.lit(_NULL))
     unit = docs.select(col(id_col).alias("k"), src.alias("s")).distinct().withColumn("h", F.xxhash64(F.lit(seed), "k", "s"))
@@ -82,14 +111,20 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     counts = {r.s: r["count"] for r in unit.groupBy("s").count().collect()}  # one row a source
     quota = quotas(counts, weights if weights is not None else smoothed(counts, power))
     names = sorted(quota)
-    total = sum(quota.values())
-    shards = max(1, math.ceil(total / shard_docs))
+    shards = max(1, math.ceil(sum(quota.values()) / shard_docs))
     blocks = [math.ceil(quota[s] / block_docs) for s in names]
-    tree = split_tree(blocks, shards, seed)
-    ends = np.cumsum(tree, axis=0)
-    rows = [(names[j], int(ends[i, j] - tree[i, j]), int(ends[i, j]), i, quota[names[j]]) for i in range(shards) for j in range(len(names)) if tree[i, j]]
-    deal = spark.createDataFrame(rows, T.StructType([T.StructField("s", T.StringType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("quota", T.LongType())]))
-    deal = deal.select("s", "shard", "quota", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("b"))
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shard of each document by its source and rank there; those beyond the source's quota go."""
+        tree, number = SplitTree(blocks, shards, seed), {s: i for i, s in enumerate(names)}
+        for batch in batches:
+            source = np.array([number.get(s, -1) for s in batch.column("s").to_pylist()], np.int64)
+            r = batch.column("r").to_numpy()
+            stays = source >= 0
+            stays[stays] = r[stays] < np.array([quota[s] for s in names], np.int64)[source[stays]]
+            batch = batch.filter(pa.array(stays))
+            shard = tree.shard_of(source[stays], r[stays] // block_docs)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "s", "h")), pa.array(shard, pa.int32())], ["k", "s", "h", "shard"])
 
     # rank within a source, without one task for a whole source: ranks within hash slices, plus the sizes of the slices before
     slices = max(8, math.ceil(sum(counts.values()) / 50_000))
@@ -97,11 +132,13 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     before = unit.groupBy("s", "slice").count().withColumn("before", F.sum("count").over(Window.partitionBy("s").orderBy("slice")) - F.col("count")).drop("count")
     rank = F.row_number().over(Window.partitionBy("s", "slice").orderBy(F.shiftrightunsigned("h", 1), "h", "k")) - 1
     ranked = unit.withColumn("r", rank).join(before, ["s", "slice"]).withColumn("r", F.col("r") + F.col("before"))
-    ranked = ranked.withColumn("b", F.floor(F.col("r") / block_docs)).join(deal, ["s", "b"]).where("r < quota")
+    ranked = ranked.select("k", "s", "h", "r").mapInArrow(deal, unit.select("k", "s", "h").withColumn("shard", F.lit(0)).schema)
     place = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "h"), "h", "s", "k")) - 1
-    dealt = written(ranked.select(F.col("k").alias("_tw_k"), F.col("s").alias("_tw_s"), "shard", place.cast("int").alias("position")), "mix-dealt")
-    dealt = dealt.withColumnsRenamed({"shard": "_tw_shard", "position": "_tw_position"})
-    out = docs.join(dealt, col(id_col).eqNullSafe(F.col("_tw_k")) & (src == F.col("_tw_s")))
-    out = out.repartition("_tw_shard").sortWithinPartitions("_tw_shard", "_tw_position")
-    own = [c for c in docs.columns if c not in ("shard", "position")]
-    return out.select(*[col(c) for c in own], F.col("_tw_shard").alias("shard"), F.col("_tw_position").alias("position"))
+    names = {c: fresh(docs, "mix_" + c) for c in ("k", "s", "shard", "position")}
+    dealt = ranked.select("k", "s", "shard", place.cast("int").alias("position")).withColumnsRenamed(names)
+    dealt = written(dealt, "mix-dealt")
+    out = docs.join(dealt, col(id_col).eqNullSafe(F.col(names["k"])) & (src == F.col(names["s"])))
+    # whole shards in each partition, as many partitions as shards or 10,000
+    parts = min(shards, 10_000)
+    out = out.repartitionById(parts, F.floor(F.col(names["shard"]).cast("long") * parts / shards).cast("int")).sortWithinPartitions(names["shard"], names["position"])
+    return out.select(*[col(c) for c in docs.columns], F.col(names["shard"]).alias(shard_col), F.col(names["position"]).alias(position_col))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from ._shared import byte_slices, col, fresh, trim_memory, written
+from ._shared import byte_slices, col, discard, fresh, trim_memory, written
 
 _EPS = 1e-9
 #: Steps of the logarithm of an n-gram's number of sets in the global order, for each doubling; and the last place.
@@ -560,10 +560,12 @@ def components(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
         jump = step.select(F.col("u").alias("new"), F.col("new").alias("far"))
         step = step.join(jump, "new", "left").select("u", F.least("new", F.coalesce("far", "new")).alias("root"), "old")
         step = written(step, "cc-labels")
-        moved = step.where("root <> old").limit(1).count()
-        labels = step.select("u", "root")
-        if not moved:
+        discard(labels)
+        labels = step
+        if not step.where("root <> old").limit(1).count():
             return labels.select(F.col("u").alias("id"), "root")
+        labels = step.select("u", "root")
+        labels.shared_path = step.shared_path
 
 
 def one_of_each(docs: DataFrame, t: float = 0.5, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -70,7 +70,7 @@ def test_documents_keep_columns_and_repeaters_go(spark):
 def test_no_rows(spark):
     df = frame(spark, []) if False else spark.createDataFrame([], SCHEMA)
     assert linededup.line_dedup(df).count() == 0 and linededup.dedup_documents(df).count() == 0
-    assert mixing.mix_sources(df).count() == 0
+    assert mixing.mix_sources(df.drop("shard")).count() == 0
     assert ngramjoin.similar_pairs(df).count() == 0 and ngramjoin.one_of_each(df).count() == 0 and ngramjoin.near_duplicates(df).count() == 0
 
 
@@ -220,7 +220,7 @@ def test_trie_against_all_pairs():
 def test_mix_holds_quotas_and_shards(spark):
     rng = random.Random(0)
     rows = [(i, "t", rng.choice(["hot"] * 6 + ["a", "b", None])) for i in range(3000)] + [(None, "t", "a"), (5, "again", None), (5, "again", None)]
-    df = frame(spark, rows)
+    df = frame(spark, rows).drop("shard")
     weights = {"hot": 0.5, "a": 0.3, "b": 0.2, "none such": 1.0}
     units = {(i, s) for i, _, s in rows}
     counts = Counter(s for _, s in units if s is not None)
@@ -238,15 +238,74 @@ def test_mix_holds_quotas_and_shards(spark):
 
 @pytest.mark.parametrize("blocks,shards", [([5, 0, 17], 4), ([1], 3), ([100, 3, 9, 40], 7), ([2, 2], 1)])
 def test_split_tree_sums(blocks, shards):
-    t = mixing.split_tree(blocks, shards, 1)
-    assert t.sum(0).tolist() == blocks and (t >= 0).all() and t.sum(1).max() - t.sum(1).min() <= 1
-    assert (t == mixing.split_tree(blocks, shards, 1)).all()
+    source, block = np.repeat(np.arange(len(blocks)), blocks), np.concatenate([np.arange(b) for b in blocks])
+    got = mixing.SplitTree(blocks, shards, 1).shard_of(source, block)
+    t = np.zeros((shards, len(blocks)), int)
+    np.add.at(t, (got, source), 1)
+    assert t.sum(0).tolist() == blocks and t.sum(1).max() - t.sum(1).min() <= 1
+    # each source's blocks lie in ranges; any part of them, asked for alone and with little memory, gives the same
+    assert all((np.diff(got[source == s]) >= 0).all() for s in range(len(blocks)))
+    o = np.random.default_rng(0).permutation(len(got))[: len(got) // 2]
+    assert (mixing.SplitTree(blocks, shards, 1, remember=1).shard_of(source[o], block[o]) == got[o]).all()
+
+
+def plain_tree(have, lo, hi, seed):
+    """Blocks by shard of a plain recursion."""
+    if hi - lo == 1:
+        return [list(have)]
+    mid, total = (lo + hi) // 2, sum(have)
+    left = total // (hi - lo) * (mid - lo) + min(total % (hi - lo), mid - lo)
+    rng = np.random.Generator(np.random.Philox(key=np.array([seed, lo << 32 | hi], np.uint64)))
+    take = rng.multivariate_hypergeometric(have, left, method="marginals").tolist() if total else have
+    return plain_tree(take, lo, mid, seed) + plain_tree([a - b for a, b in zip(have, take)], mid, hi, seed)
+
+
+def test_mix_matches_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(i, "t", rng.choice(["hot"] * 7 + ["a", "b", None])) for i in range(700)] + [(None, "t", "a"), (5, "u", "a"), (5, "v", "a")]
+    df = frame(spark, rows).drop("shard")
+    got = Counter((r.doc_id, r.text, r.source, r.shard, r.position) for r in mixing.mix_sources(df, shard_docs=50, block_docs=4, seed=3).collect())
+    null = mixing._NULL
+    units = {(r.doc_id, r.s): (r.h, r.g) for r in df.selectExpr("doc_id", "coalesce(source, '\\0null') AS s").selectExpr("doc_id", "s", "xxhash64(3, doc_id, s) AS h", "xxhash64(4, xxhash64(3, doc_id, s)) AS g").collect()}
+    counts = Counter(s for _, s in units)
+    quota = mixing.quotas(dict(counts), mixing.smoothed(dict(counts), mixing.POWER))
+    names, total = sorted(quota), sum(quota.values())
+    shards = -(-total // 50)
+    tree = plain_tree([-(-quota[s] // 4) for s in names], 0, shards, 3)
+    place = {}
+    for j, s in enumerate(names):
+        mine = sorted((u for u in units if u[1] == s), key=lambda u: ((units[u][0] % 2**64) >> 1, units[u][0], u[0] is not None, u[0]))
+        ends = np.cumsum([t[j] for t in tree])
+        for r, u in enumerate(mine[: quota[s]]):
+            place[u] = int(np.searchsorted(ends, r // 4, side="right"))
+    want = Counter()
+    for shard in range(shards):
+        mine = sorted((u for u, p in place.items() if p == shard), key=lambda u: (units[u][1], units[u][0], u[1], u[0]))
+        at = {u: n for n, u in enumerate(mine)}
+        want.update((i, t, s, shard, at[i, s or null]) for i, t, s in rows if (i, s or null) in at)
+    assert got == want
+
+
+def test_columns_of_any_name_pass(spark):
+    rows = [(i, f"line {i % 7}\nown {i}", "s") for i in range(30)]
+    df = frame(spark, rows).selectExpr("concat('d', doc_id) AS doc_id", "text", "source", "h1 AS gone_id", "shard AS gone_lines", "lang AS _tw_k", "k", "shard", "id AS mix_k", "7 AS mix_shard")
+    with pytest.raises(ValueError, match="shard"):
+        mixing.mix_sources(df)
+    out = mixing.mix_sources(df, shard_col="of", position_col="at")
+    assert out.columns == [*df.columns, "of", "at"] and sorted(map(tuple, out.drop("of", "at").collect())) == sorted(map(tuple, df.collect()))
+    out = linededup.dedup_documents(df)
+    assert out.columns == df.columns and {(r.gone_id, r.gone_lines, r._tw_k, r.mix_shard) for r in out.collect()} == {(1, 9, "en", 7)}
+    got = {r.doc_id: r.text for r in out.collect()}
+    first = {}
+    for d in sorted(f"d{i}" for i in range(30)):
+        first.setdefault(int(d[1:]) % 7, d)
+    assert got == {d: (f"line {int(d[1:]) % 7}\n" if first[int(d[1:]) % 7] == d else "") + f"own {d[1:]}" for d in got} and len(got) == 30
 
 
 def test_rare_and_null_sources_dont_decide_for_all(spark):
     sizes = {"hot": 6000, "a": 200, "b": 200, "rare": 3}
     rows = [(s, i) for s, n in {**sizes, None: 2}.items() for i in range(n)]
-    df = frame(spark, [(n, "t", s) for n, (s, _) in enumerate(rows)])
+    df = frame(spark, [(n, "t", s) for n, (s, _) in enumerate(rows)]).drop("shard")
     got = Counter(r.source for r in mixing.mix_sources(df, power=mixing.POWER).collect())
     assert got["rare"] == 3 and got[None] == 2 and got["a"] == got["b"] == 200 and got["hot"] >= 2000
     # a null source of any size, equal sources, one source, reviewers' sizes
