@@ -8,10 +8,13 @@ letter n-grams and beginnings of words is trained by the non-negative estimator
 whose class prior pi is estimated first, from the share of the two samples above each cut of a positive-against-unlabelled
 score. Every document is then scored over its whole text.
 
-Bounds (parameters): ``max_positive`` and ``max_unlabelled`` rows for training, chosen by hash of the id, and ``features``
-n-grams. Results for odd input: null and empty texts score as a text without features and are never toxic; a null id is
-kept as null; repeated rows score alike; where no n-gram stands out among confirmed toxic documents, nothing is toxic
-and scores are null. Other columns of the input aren't read.
+Bounds (parameters): ``max_positive`` and ``max_unlabelled`` documents for training, chosen by hash of the id, and ``features``
+n-grams; the class prior is estimated over all documents, by a pass that counts scores above each cut. The driver gets the
+chosen n-grams and a row of their values for each training document, whatever the length of texts. Results for odd input:
+null and empty texts score as a text without features and are never toxic, texts of any length are scored whole; a null id is
+kept as null; labels without a document don't count, an id of several rows is trained on by its least text; repeated rows
+score alike and ties in the choice of n-grams go by their letters; where no n-gram stands out among confirmed toxic documents, or there are no
+documents, nothing is toxic and scores are null. Other columns of the input aren't read, and pass through with ``keep``.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_slices, col
+from ._shared import byte_slices, col, written
 
 _SIZES, _STARTS = (4,), (4, 6, 8)
 
@@ -126,59 +129,125 @@ def _descend(xp: np.ndarray, xu: np.ndarray, prior: float | None, steps: int, ra
     return w
 
 
-def estimate_prior(sp: np.ndarray, su: np.ndarray) -> float:
-    """Least ratio of the samples' shares above a cut, unlabelled to positive, judged by its upper confidence bound."""
+def cuts_of(sp: np.ndarray) -> np.ndarray:
+    return np.unique(np.quantile(sp, np.linspace(0.02, 0.8, 60)))
+
+
+def estimate_prior(sp: np.ndarray, cuts: np.ndarray, above: np.ndarray, n: int) -> float:
+    """Least ratio of shares above a cut, of all documents to positive ones, judged by its upper confidence bound. ``above``: of
+    n documents, those with a score of each cut or more."""
     best, bound = 0.5, np.inf
-    for cut in np.unique(np.quantile(sp, np.linspace(0.02, 0.8, 60))):
-        p, u = (sp >= cut).mean(), (su >= cut).mean()
-        error = (np.sqrt(u * (1 - u) / len(su)) + 1 / len(su)) / p + u / p * np.sqrt((1 - p) / (p * len(sp)))
+    for cut, a in zip(cuts, above):
+        p, u = (sp >= cut).mean(), a / n
+        error = (np.sqrt(u * (1 - u) / n) + 1 / n) / p + u / p * np.sqrt((1 - p) / (p * len(sp)))
         if u / p + error < bound:
             best, bound = u / p, u / p + error
-    return float(min(max(best, 1.0 / max(len(su), 2)), 0.9))
+    return float(min(max(best, 1.0 / max(n, 2)), 0.9))
 
 
-def train(positive: list[str], unlabelled: list[str], features: int = 512, steps: int = 800, lift: float = 2.5, evidence: float = 11.0) -> Model:
-    """Fit a model. Features: the n-grams that stand out among positives against unlabelled texts, by ``lift`` and by
-    ``evidence`` against chance."""
-    memo: dict[str, tuple[str, ...]] = {}
-    fp, fu = Counter(), Counter()
-    for texts, counts in ((positive, fp), (unlabelled, fu)):
-        for t in texts:  # one text's set at a time
-            counts.update(text_grams(t, memo))
-    if not fp or not unlabelled:
-        return Model({}, -1.0, 0.0)
-    # how far above chance a positive count is (Poisson tail, in nats), for n-grams several times as frequent as at large
+def choose(fp: Counter, fu: Counter, n_p: int, n_u: int, features: int, lift: float, evidence: float) -> list[str]:
+    """N-grams that stand out in positive documents: several times as frequent as at large, by ``lift``, and how far above
+    chance (Poisson tail, in nats), by ``evidence``."""
     gain = {}
     for g, n in fp.items():
-        e = (fu[g] + 0.5) * len(positive) / len(unlabelled)
+        e = (fu[g] + 0.5) * n_p / n_u
         if n >= 3 and n > lift * e and (x := n * np.log(n / e) - (n - e)) > evidence:
             gain[g] = x
-    chosen = sorted(gain, key=lambda g: (-gain[g], g))[:features]
-    if not chosen:
-        return Model({}, -1.0, 0.0)
-    index = {g: i for i, g in enumerate(chosen)}
-    xp, xu = _matrix(positive, index), _matrix(unlabelled, index)
-    half_p, half_u = np.arange(len(xp)) % 2 == 0, np.arange(len(xu)) % 2 == 0
-    if len(xp) >= 4 and len(xu) >= 4:  # the prior from rows that the score hasn't seen
-        w = _descend(xp[half_p], xu[half_u], None, steps // 4)
-        prior = estimate_prior(xp[~half_p] @ w[:-1] + w[-1], xu[~half_u] @ w[:-1] + w[-1])
-    else:
-        prior = 0.1
+    return sorted(gain, key=lambda g: (-gain[g], g))[:features]
+
+
+def learn(grams: list[str], xp: np.ndarray, xu: np.ndarray, steps: int, above) -> Model:
+    """Fit a model to feature rows. ``above(model, cuts)``: (of all documents those with a score of each cut or more, their number)."""
+    prior = 0.1
+    if len(xp) >= 4 and len(xu) >= 4:  # the prior from positive rows that the score hasn't seen
+        half = np.arange(len(xp)) % 2 == 0
+        w = _descend(xp[half], xu[np.arange(len(xu)) % 2 == 0], None, steps // 4)
+        sp = xp[~half] @ w[:-1] + w[-1]
+        cuts = cuts_of(sp)
+        prior = estimate_prior(sp, cuts, *above(Model(dict(zip(grams, map(float, w))), float(w[-1]), 0.0), cuts))
     w = _descend(xp, xu, prior, steps)
-    return Model({g: float(w[i]) for g, i in index.items()}, float(w[-1]), prior)
+    return Model(dict(zip(grams, map(float, w))), float(w[-1]), prior)
+
 
+_NONE = Model({}, -1.0, 0.0)
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlabelled: int = 4000, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
+
+def train(positive: list[str], unlabelled: list[str], everything: list[str] | None = None, features: int = 512, steps: int = 800, lift: float = 2.5, evidence: float = 11.0) -> Model:
+    """Fit a model to texts at hand; ``everything``: the corpus whose class prior counts, the unlabelled texts without it."""
+    memo: dict[str, tuple[str, ...]] = {}
+    fp, fu = Counter(), Counter()
+    for texts, counts in ((positive, fp), (unlabelled, fu)):
+        for t in texts:
+            counts.update(text_grams(t, memo))
+    grams = choose(fp, fu, len(positive), len(unlabelled), features, lift, evidence) if positive and unlabelled else []
+    if not grams:
+        return _NONE
+    index = {g: i for i, g in enumerate(grams)}
+
+    def above(model: Model, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+        of, texts = model.scorer(), unlabelled if everything is None else everything
+        s = np.array([of(t) for t in texts])
+        return np.array([(s >= c).sum() for c in cuts]), len(texts)
+
+    return learn(grams, _matrix(positive, index), _matrix(unlabelled, index), steps, above)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlabelled: int = 4000, features: int = 512, steps: int = 800, lift: float = 2.5, evidence: float = 11.0, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
     """Train on documents with label 1 and on documents at large, both bounded samples by hash of the id."""
-    ids = docs.select(col(id_col).alias("k"))
+    text = docs.select(col(id_col).alias("k"), col(text_col).cast("string").alias("x"))
+    ids = text.select("k").where("k IS NOT NULL").distinct()
     order = [F.xxhash64("k", F.lit(7)), "k"]
-    known = labels.where(col(toxic_col) == 1).select(col(id_col).alias("k")).where("k IS NOT NULL").distinct()
-    chosen = known.orderBy(*order).limit(max_positive).withColumn("p", F.lit(1)).unionByName(
-        ids.where("k IS NOT NULL").orderBy(*order).limit(max_unlabelled).withColumn("p", F.lit(0)))
+    known = labels.where(col(toxic_col) == 1).select(col(id_col).alias("k"))
+    chosen = ids.join(known, "k", "left_semi").orderBy(*order).limit(max_positive).withColumn("p", F.lit(1)).unionByName(
+        ids.orderBy(*order).limit(max_unlabelled).withColumn("p", F.lit(0)))
     # at most max_positive + max_unlabelled ids: a bounded broadcast
-    rows = docs.select(col(id_col).alias("k"), col(text_col).cast("string").alias("x")).join(F.broadcast(chosen), "k").select("p", "x", "k").collect()
-    rows.sort(key=lambda r: (r.p, str(r.k), r.x or ""))
-    return train([r.x or "" for r in rows if r.p], [r.x or "" for r in rows if not r.p])
+    rows = text.join(F.broadcast(chosen), "k").groupBy("p", "k").agg(F.coalesce(F.min("x"), F.lit("")).alias("x"))
+    rows = written(rows.select("p", F.col("k").cast("string").alias("k"), "x"), "toxic-sample")
+    size = {r.p: r["count"] for r in rows.groupBy("p").count().collect()}
+    if len(size) < 2:
+        return _NONE
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, tuple[str, ...]] = {}
+        for batch in batches:
+            for part in byte_slices(batch, "x"):
+                found = Counter()
+                for p, x in zip(part.column("p").to_pylist(), part.column("x").to_pylist()):
+                    found.update((g, p) for g in text_grams(x, memo))
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.string()), pa.array([p for _, p in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["g", "p", "n"])
+
+    e = (F.col("fu") + 0.5) * size[1] / size[0]
+    n = F.col("fp")
+    gain = n * F.log(n / e) - (n - e)
+    counts = rows.mapInArrow(count, "g string, p int, n long").groupBy("g").agg(F.sum(F.when(F.col("p") == 1, F.col("n")).otherwise(0)).alias("fp"), F.sum(F.when(F.col("p") == 0, F.col("n")).otherwise(0)).alias("fu"))
+    grams = counts.where((n >= 3) & (n > lift * e)).withColumn("gain", gain).where(F.col("gain") > evidence).orderBy(F.desc("gain"), "g").limit(features).collect()
+    grams = [r.g for r in grams]
+    if not grams:
+        return _NONE
+    index = {g: i for i, g in enumerate(grams)}
+
+    def values(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "x"):
+                x = _matrix(part.column("x").to_pylist(), index)
+                yield pa.RecordBatch.from_arrays([part.column("p"), part.column("k"), pa.array([r.tobytes() for r in x], pa.binary())], ["p", "k", "v"])
+
+    got = sorted(rows.mapInArrow(values, "p int, k string, v binary").collect(), key=lambda r: (r.p, r.k))  # a row a training document
+    xp, xu = (np.array([np.frombuffer(r.v, np.float32) for r in got if r.p == p]) for p in (1, 0))
+
+    def above(model: Model, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = model.scorer()
+            for batch in batches:
+                for part in byte_slices(batch, "x", 16 << 20):
+                    s = np.sort([of(t) for t in part.column("x").to_pylist()])
+                    n = len(s) - np.searchsorted(s, cuts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(cuts))), pa.array(np.append(len(s), n))], ["i", "n"])
+
+        found = {r.i: r.n for r in text.select("x").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}  # a row a cut
+        return np.array([found.get(i, 0) for i in range(len(cuts))]), found.get(-1, 1)
+
+    return learn(grams, xp, xu, steps, above)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

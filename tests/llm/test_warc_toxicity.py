@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 
 from tablewright.llm import toxicity, warc
@@ -110,3 +112,49 @@ def test_the_estimator_is_not_negative():
     texts = ["vilegrub snarkhate word%d" % (i % 7) for i in range(60)]
     m = toxicity.train(texts, texts + ["calm day %d" % i for i in range(400)])
     assert all(abs(w) < 1e3 for w in m.weights.values()) and m.scorer()(texts[0]) > m.scorer()("calm day 3")
+
+
+def test_fit_is_that_of_the_texts_at_hand(spark):
+    """The table's way to counts, rows and prior against plain Python on the same texts."""
+    rows = corpus(300) + [(5, "zz later text", 0), (901, None, 0), (None, "vilegrub " * 9, 1)]
+    df = frame(spark, rows)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:150]] + [(5000 + i, 1) for i in range(50)] + [(None, 1)], "doc_id long, toxic int")
+    got = toxicity.fit(df.drop("toxic"), labels)
+    texts = {}
+    for i, t, _ in rows:
+        if i is not None:
+            texts[i] = min(texts.get(i, t), t or "") if t is not None else texts.get(i, "")
+    by_id = sorted((str(i), t) for i, t in texts.items())
+    toxic = {str(i) for i, _, y in rows[:150] if y}
+    want = toxicity.train([t for i, t in by_id if i in toxic], [t for _, t in by_id], [t for _, t, _ in rows])
+    assert got.weights.keys() == want.weights.keys() and abs(got.prior - want.prior) < 1e-12
+    assert all(abs(got.weights[g] - w) < 1e-9 for g, w in want.weights.items()) and abs(got.bias - want.bias) < 1e-9
+
+
+def plain_steps(xp, xu, prior, steps, rate=0.05, decay=1e-4):
+    """The non-negative estimator and Adam, number by number."""
+    d = len(xp[0])
+    w, m, v = [0.0] * d + [-1.0], [0.0] * (d + 1), [0.0] * (d + 1)
+    for t in range(1, steps + 1):
+        z = lambda x: sum(a * b for a, b in zip(x, w)) + w[d]  # noqa: E731, B023
+        sig = lambda s: 1 / (1 + math.exp(-s))
+        slope = lambda xs, r: [sum(r(x) * (x[j] if j < d else 1) for x in xs) / len(xs) for j in range(d + 1)]  # noqa: E731, B023
+        minus = sum(math.log(1 + math.exp(z(x))) for x in xu) / len(xu) - prior * sum(math.log(1 + math.exp(z(x))) for x in xp) / len(xp)
+        back = [a - prior * b for a, b in zip(slope(xu, lambda x: sig(z(x))), slope(xp, lambda x: sig(z(x))))]  # noqa: B023
+        plus = slope(xp, lambda x: sig(z(x)) - 1)  # noqa: B023
+        g = [prior * a + b for a, b in zip(plus, back)] if minus >= 0 else [-b for b in back]
+        g = [a + decay * b for a, b in zip(g[:d], w[:d])] + [g[d]]
+        m = [0.9 * a + 0.1 * b for a, b in zip(m, g)]
+        v = [0.999 * a + 0.001 * b * b for a, b in zip(v, g)]
+        w = [a - rate * (b / (1 - 0.9**t)) / (math.sqrt(c / (1 - 0.999**t)) + 1e-8) for a, b, c in zip(w, m, v)]
+        w = [max(a, 0.0) for a in w[:d]] + [w[d]]
+    return w
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.3, 0.8])
+def test_steps_match_plain_python(prior):
+    rng = random.Random(1)
+    xp = [[rng.random() * 2, rng.random(), float(rng.random() < 0.5)] for _ in range(12)]
+    xu = [[rng.random(), rng.random(), float(rng.random() < 0.2)] for _ in range(25)]
+    got = toxicity._descend(np.array(xp), np.array(xu), prior, 120)
+    assert np.allclose(got, plain_steps(xp, xu, prior, 120), rtol=1e-9, atol=1e-9)
