@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm import bpe, linededup, mixing, ngramjoin, toxicity
-from tablewright.llm._shared import table, written
+from tablewright.llm._shared import collected, drop_path, fresh, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the sources' target proportions, in shards' order."""
-    return mixing.mix_sources(docs, power=mixing.POWER).drop("shard", "position")
+    new = fresh(docs, "mix_shard"), fresh(docs, "mix_position")
+    return mixing.mix_sources(docs, power=mixing.POWER, shard_col=new[0], position_col=new[1]).drop(*new)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written in the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage keeps is written in the shared folder and read by the next. What a stage
+    left there besides is deleted once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, "stage-" + "".join(c if c.isalnum() else "-" for c in name))
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with collected() as paths:
+            docs = written(stage(spark, docs, sf_dir), "stage-" + "".join(c if c.isalnum() else "-" for c in name))
+        for p in {*paths, before} - {docs.shared_path, None}:
+            drop_path(spark, p)
+        before = docs.shared_path
     return docs
