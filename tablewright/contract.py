@@ -11,6 +11,8 @@ from .functions import formats, text as X
 from .operators import drift, match, profile, readiness, rules, transform
 from .plans import schema, semantic
 from .plans.engine import Engine
+from .session import scratch
+from .sources import readers
 from .streaming import batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,7 +164,12 @@ def name_similarity(spark, sf_dir):
 _TYPES_SQL = ", ".join(f"('{t}')" for t in schema.TYPES)
 
 
-@query("type_signal", f"SELECT s.t AS source, c.t AS target, CASE WHEN s.t = 'unknown' THEN 0.3 WHEN s.t = c.t THEN 1.0 " + " ".join(f"WHEN s.t = '{a}' AND c.t = '{b}' THEN {v}" for a, near in match._NEAR_TYPES.items() for b, v in near.items()) + f" WHEN c.t IN ('string', 'text') THEN 0.5 ELSE 0.2 END::DOUBLE AS score FROM (VALUES {_TYPES_SQL}) s(t), (VALUES {_TYPES_SQL}) c(t)")
+@query("type_signal", """
+WITH t(t) AS (SELECT unnest(['string', 'text', 'integer', 'decimal', 'percentage', 'boolean', 'date', 'timestamp', 'email', 'currency_code', 'json', 'array', 'unknown'])),
+near(s, c, v) AS (VALUES ('integer', 'decimal', 0.85), ('integer', 'percentage', 0.7), ('decimal', 'percentage', 0.85), ('decimal', 'integer', 0.6), ('percentage', 'decimal', 0.85), ('date', 'timestamp', 0.85),
+  ('timestamp', 'date', 0.8), ('email', 'string', 0.7), ('string', 'text', 0.9), ('string', 'email', 0.5), ('text', 'string', 0.9))
+SELECT s.t AS source, c.t AS target, CAST(CASE WHEN s.t = 'unknown' THEN 0.3 WHEN s.t = c.t THEN 1.0 WHEN n.v IS NOT NULL THEN n.v WHEN c.t IN ('string', 'text') THEN 0.5 ELSE 0.2 END AS DOUBLE) AS score
+FROM t s CROSS JOIN t c LEFT JOIN near n ON n.s = s.t AND n.c = c.t""")
 def type_signal(spark, sf_dir):
     t = spark.createDataFrame([(x,) for x in schema.TYPES], "source string")
     return t.crossJoin(t.withColumnRenamed("source", "target")).select("source", "target", match.type_signal(F.col("source"), F.col("target")).alias("score"))
@@ -202,19 +209,51 @@ _ORDER_MAP = schema.Mapping({"domain": "sales", "entity": "order", "version": 1}
         ("o_orderdate", "ordered_at", 0.8, schema.REVIEW), ("o_orderpriority", "priority", 0.75, schema.REVIEW))])
 
 
-@query("suggest_customer_mapping", """
-SELECT * FROM (VALUES ('c_custkey', 'client_id', 'requires_review'), ('c_name', 'client_name', 'requires_review'), ('c_nationkey', 'nation', 'low_confidence'),
-  ('c_acctbal', 'balance', 'auto_approved'), ('c_mktsegment', 'segment', 'requires_review')) t(field, canonical, status)""")
+_TARGETS_SQL = """(VALUES
+  (0, 'client_id', 'integer', ['c_custkey', 'customer_key'], NULL::DOUBLE, NULL::DOUBLE, false, ['identifier']), (1, 'client_name', 'string', ['c_name'], NULL, NULL, false, []),
+  (2, 'balance', 'decimal', ['c_acctbal'], -1000, 10000, false, ['money']), (3, 'segment', 'string', ['c_mktsegment'], NULL, NULL, true, []), (4, 'nation', 'integer', ['nation_key'], NULL, NULL, false, []))
+  AS t(place, canonical, type, aliases, lo, hi, has_enum, tags)"""
+#: Scores of every field of ``customer`` against every target: common subsequence, words, alias, types, patterns, bounds.
+_CANDIDATES_SQL = f"""
+WITH RECURSIVE p AS (SELECT field, inferred_type, min, max, string_split(patterns, '|') AS patterns FROM ({profile_sql('customer')})), t AS (SELECT * FROM {_TARGETS_SQL}),
+names AS (SELECT field, canonical, unnest(list_prepend(canonical, aliases)) AS name FROM p, t),
+dp(a, b, i, r) AS (
+  SELECT DISTINCT field, name, 0, list_transform(range(length(name)), lambda j: 0) FROM names
+  UNION ALL
+  SELECT a, b, i + 1, list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k:
+    CASE WHEN substr(b, k, 1) = substr(a, i + 1, 1) THEN (CASE WHEN k > 1 THEN r[k - 1] ELSE 0 END) + 1 ELSE r[k] END)))
+  FROM dp WHERE i < length(a)),
+like_ AS (SELECT field, canonical, max(2.0::DOUBLE * r[length(b)] / (length(a) + length(b))) AS s FROM dp JOIN names ON a = field AND b = name WHERE i = length(a) GROUP BY 1, 2),
+x AS (
+  SELECT p.field, t.canonical, place, CASE WHEN p.field = t.canonical OR list_contains(aliases, p.field) THEN 1.0 ELSE 0.0 END::DOUBLE AS alias,
+    round(CASE WHEN s < 1 THEN least(1.0::DOUBLE, s + 0.05 * len(list_intersect(string_split(p.field, '_'), string_split(t.canonical, '_')))) ELSE s END, 4) AS name,
+    CASE WHEN inferred_type = type THEN 1.0 WHEN inferred_type = 'integer' AND type = 'decimal' THEN 0.85 WHEN inferred_type = 'decimal' AND type = 'integer' THEN 0.6 WHEN type = 'string' THEN 0.5 ELSE 0.2 END::DOUBLE AS kind,
+    greatest(CASE WHEN 'identifier' IN tags THEN len(list_intersect(patterns, ['identifier_like', 'mostly_unique', 'uuid_like'])) WHEN 'money' IN tags THEN len(list_intersect(patterns, ['currency_like', 'decimal', 'positive_number'])) ELSE 0 END, 0) AS support,
+    has_enum AND list_contains(patterns, 'enum_like') AS few,
+    CASE WHEN (lo IS NULL AND hi IS NULL) OR min IS NULL OR max IS NULL THEN 0.0 WHEN min >= lo AND max <= hi THEN 1.0 WHEN max < lo OR min > hi THEN 0.0 ELSE 0.4 END::DOUBLE AS bounds
+  FROM p CROSS JOIN t JOIN like_ l ON l.field = p.field AND l.canonical = t.canonical),
+c AS (SELECT *, round(0.4::DOUBLE * alias + 0.2::DOUBLE * name + 0.15::DOUBLE * kind + 0.15::DOUBLE * greatest(CASE WHEN support > 0 THEN least(1.0::DOUBLE, 0.6 + 0.2 * support) ELSE 0 END, CASE WHEN few THEN 0.7 ELSE 0 END) + 0.1::DOUBLE * bounds, 4) AS confidence FROM x),
+ranked AS (SELECT field, canonical, confidence, CAST(row_number() OVER (PARTITION BY field ORDER BY confidence DESC, alias DESC, name DESC, place) AS INTEGER) AS rank FROM c WHERE confidence >= 0.3)
+"""
+
+
+@query("suggest_customer_mapping", _CANDIDATES_SQL + """, o AS (SELECT field, row_number() OVER (ORDER BY max(confidence) DESC, field) AS i, list(struct_pack(t := canonical, c := confidence) ORDER BY rank) AS cs FROM ranked GROUP BY field),
+g AS (
+  SELECT 0 AS i, NULL::VARCHAR AS field, NULL::STRUCT(t VARCHAR, c DOUBLE) AS pick, []::VARCHAR[] AS taken
+  UNION ALL
+  SELECT i, field, pick, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.t) END
+  FROM (SELECT o.i, o.field, g.taken, list_filter(o.cs, lambda v: NOT list_contains(g.taken, v.t))[1] AS pick FROM g JOIN o ON o.i = g.i + 1))
+SELECT field, pick.t AS canonical, CASE WHEN pick.c >= 0.9 THEN 'auto_approved' WHEN pick.c >= 0.7 THEN 'requires_review' ELSE 'low_confidence' END AS status FROM g WHERE i > 0""")
 def suggest_customer_mapping(spark, sf_dir):
     e = Engine(spark)
     found = e.suggest(e.profile(_table(spark, sf_dir, "customer")), _CUSTOMER).mappings  # one row a column
     return spark.createDataFrame([(m.source_field, m.canonical_field, m.status) for m in found], "field string, canonical string, status string")
 
 
-@query("candidate_ranking")
+@query("candidate_ranking", _CANDIDATES_SQL + "SELECT field, canonical, confidence, rank FROM ranked")
 def candidate_ranking(spark, sf_dir):
     p = profile.profile(_table(spark, sf_dir, "customer"))
-    return match.candidates(p, schema.canonical_frame(spark, _CUSTOMER)).select("field", "canonical", "confidence", "rank", F.array_join("reasons", "; ").alias("reasons"))
+    return match.candidates(p, schema.canonical_frame(spark, _CUSTOMER)).select("field", "canonical", "confidence", "rank")
 
 
 @query("greedy_assignment", """
@@ -282,6 +321,77 @@ def validation_report(spark, sf_dir):
     return one.select(F.inline(F.array(*[F.struct(F.lit(r.field).alias("field"), F.lit(r.rule).alias("rule"), F.col(f"r{i}").cast("long").alias("failed")) for i, r in enumerate(checks)])))
 
 
+_CONTACT = schema.entity_from({
+    "domain": "sales", "entity": "contact", "version": 1, "fields": {
+        "id": {"type": "string", "required": True, "pii": "high", "semantic_tags": ["identifier"]}, "mail": {"type": "email", "required": True}, "currency": {"type": "currency_code"},
+        "gtin": {"type": "string", "format": "gtin"}, "country": {"type": "string", "format": "iso3166_alpha2"}, "seen": {"type": "date", "format": "date"}, "score": {"type": "decimal", "min": 0, "max": 50}}})
+
+
+@query("validation_failures", f"""
+WITH c AS (SELECT c_custkey AS k FROM customer), n AS (SELECT count(*) AS n FROM c), g AS (SELECT k, lpad(CAST(k * 104729 + 4006381333931 AS VARCHAR), 13, '0') AS g FROM c)
+SELECT 'id' AS field, 'not_null' AS rule, 'error' AS severity, true AS passed, 0 AS failed FROM n
+UNION ALL SELECT 'id', 'unique', 'warning', false, n - (SELECT count(DISTINCT k - k % 10 // 9) FROM c) FROM n
+UNION ALL SELECT 'id', 'pii_present', 'info', true, 0 FROM n
+UNION ALL SELECT 'mail', 'not_null', 'error', false, (SELECT count(*) FROM c WHERE k % 5 < 3) FROM n
+UNION ALL SELECT 'mail', 'valid_email', 'error', false, (SELECT count(*) FROM c WHERE k % 5 = 3) FROM n
+UNION ALL SELECT 'mail', 'unexpected_nulls', 'warning', false, (SELECT count(*) FROM c WHERE k % 5 < 3) FROM n
+UNION ALL SELECT 'currency', 'valid_currency_code', 'error', false, (SELECT count(*) FROM c WHERE k % 4 = 1) FROM n
+UNION ALL SELECT 'gtin', 'valid_checksum', 'error', false, (SELECT count(*) FROM g WHERE list_sum(list_transform(range(1, 14), lambda i: (ascii(substr(g, i::INTEGER, 1)) - 48) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10 <> 0) FROM n
+UNION ALL SELECT 'country', 'valid_format', 'error', false, (SELECT count(*) FROM c WHERE k % 6 = 0) FROM n
+UNION ALL SELECT 'seen', 'valid_datetime', 'error', false, (SELECT count(*) FROM c WHERE k % 7 = 0) FROM n
+UNION ALL SELECT 'score', 'range', 'error', false, (SELECT count(*) FROM c WHERE k % 60 > 50 OR k % 8 = 0) FROM n
+UNION ALL SELECT '', 'overall', '', false, n FROM n""")
+def validation_failures(spark, sf_dir):
+    k = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    df = _table(spark, sf_dir, "customer").select(
+        text(k - F.floor(k % 10 / 9)).alias("id"), F.when(k % 5 == 3, "no mail").when(k % 5 == 4, F.concat(F.lit("m"), text(k), F.lit("@x.example"))).otherwise("  ").alias("mail"),
+        F.when(k % 4 == 0, " usd").when(k % 4 == 1, "XXX").when(k % 4 == 2, "EUR").alias("currency"), F.lpad(text(k * 104729 + 4006381333931), 13, "0").alias("gtin"), F.when(k % 6 == 0, "D3").otherwise("DE").alias("country"),
+        F.when(k % 7 == 0, "soon").otherwise(F.concat(F.lit("2024-02-"), F.lpad(text(k % 28 + 1), 2, "0"))).alias("seen"), F.when(k % 8 == 0, "much").otherwise(text(k % 60)).alias("score"))
+    mapping = schema.Mapping({}, [schema.Suggestion(c, c, 0.95, schema.AUTO) for c in df.columns])
+    report = rules.validate(transform.checked(df, mapping, _CONTACT), rules.rules_for(_CONTACT, mapping, {"id": ["mostly_unique"], "mail": ["high_null_rate"]}))
+    rows = [(f.field, f.rule, f.severity, f.passed, f.failed_count) for f in report.findings] + [("", "overall", "", report.passed, report.row_count)]
+    return spark.createDataFrame(rows, "field string, rule string, severity string, passed boolean, failed long")
+
+
+# sources and sinks
+
+
+@query("scan_csv", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'says \"a;b\", ' || o_orderstatus ELSE o_orderstatus END AS note, CASE WHEN o_orderkey % 4 > 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 'True' ELSE 'False' END END AS even FROM orders")
+def scan_csv(spark, sf_dir):
+    """Written by the CSV sink, read by the scan that a file's ending chooses."""
+    k = F.col("o_orderkey")
+    df = _table(spark, sf_dir, "orders").select(k, F.when(k % 9 == 0, F.concat(F.lit('says "a;b", '), F.col("o_orderstatus"))).otherwise(F.col("o_orderstatus")).alias("note"), F.when(k % 4 > 0, F.col("o_custkey") % 2 == 0).alias("even"))
+    path = scratch(spark, "csv") + ".csv"
+    Engine(spark).write_csv(df, path)
+    return readers.read_path(spark, path)
+
+
+@query("scan_csv_separator", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
+def scan_csv_separator(spark, sf_dir):
+    path = scratch(spark, "csv") + ".csv"
+    _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").write.csv(path, header=True, sep=";")
+    return readers.read_source(spark, {"type": "csv", "path": path})
+
+
+@query("scan_jsonl", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, c_acctbal FROM customer")
+def scan_jsonl(spark, sf_dir):
+    """Blank lines and lines that hold no object are skipped."""
+    path = scratch(spark, "jsonl") + ".jsonl"
+    lines = _table(spark, sf_dir, "customer").select(F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")).alias("value"), (F.col("c_custkey") % 50).alias("k"))
+    lines.select(F.explode(F.when(F.col("k") == 0, F.array("value", F.lit(""), F.lit("[7]"))).otherwise(F.array("value")))).write.text(path)
+    return readers.read_path(spark, path)
+
+
+@query("scan_json", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def scan_json(spark, sf_dir):
+    """A document for each region, an array or an object that wraps one; other elements are dropped."""
+    path = scratch(spark, "json") + ".json"
+    n = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.collect_list(F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey"))), ", 5, ").alias("o"))
+    n.select(F.when(F.col("n_regionkey") % 2 == 0, F.concat(F.lit("["), "o", F.lit(', "x"]'))).otherwise(F.concat(F.lit('{"total": 3, "items": ['), "o", F.lit("]}"))).alias("value")).repartition(5).write.text(path)
+    return readers.read_path(spark, path)
+
+
 _MOD97 = "list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN ascii(substr({0}, i::INTEGER, 1)) >= 65 THEN ascii(substr({0}, i::INTEGER, 1)) - 55 + 100 ELSE ascii(substr({0}, i::INTEGER, 1)) - 48 END::BIGINT)), lambda s, d: CASE WHEN d >= 100 THEN (s * 100 + d - 100) % 97 ELSE (s * 10 + d) % 97 END)"
 _GTIN = "(list_sum(list_transform(range(1, 14), lambda i: (ascii(substr(g, i::INTEGER, 1)) - 48) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10 = 0)"
 _LUHN = "(list_sum(list_transform(range(1, 16), lambda i: (CASE WHEN i % 2 = 0 THEN (ascii(substr('80840' || n, i::INTEGER, 1)) - 48) * 2 - CASE WHEN (ascii(substr('80840' || n, i::INTEGER, 1)) - 48) > 4 THEN 9 ELSE 0 END ELSE ascii(substr('80840' || n, i::INTEGER, 1)) - 48 END))) % 10 = 0)"
@@ -300,12 +410,25 @@ def checksum_formats(spark, sf_dir):
     return v.select("c_custkey", formats.is_iban(F.col("b")).alias("iban"), formats.is_gtin(F.col("g")).alias("gtin"), formats.is_npi(F.col("n")).alias("npi"), formats.is_lei(F.col("l")).alias("lei"))
 
 
-@query("plain_formats", r"""
-SELECT n_name AS v, false AS email, false AS uuid, false AS iso8601, false AS date, false AS e164, length(n_name) = 2 AND regexp_matches(upper(n_name), '^[A-Z]{2}$') AS iso3166_alpha2,
-  regexp_matches(n_name, '^[A-Za-z0-9][A-Za-z0-9\s\-]{2,9}$') AS postal_code, regexp_matches(upper(n_name), '^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?$') AS bic FROM nation
-UNION ALL SELECT CAST(o_orderdate AS DATE)::VARCHAR AS v, false, false, true, true, true, false, true, false FROM orders GROUP BY v""")
+_CONTACTS_SQL = r"""(SELECT n_name AS v FROM nation UNION SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) FROM orders
+  UNION SELECT 'c' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN '@mail.example' WHEN 1 THEN '@mail' ELSE ' @mail.example' END FROM customer
+  UNION SELECT CASE c_custkey % 3 WHEN 0 THEN '+' WHEN 1 THEN '+0' ELSE '' END || (4930000000 + c_custkey) FROM customer
+  UNION SELECT substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8) || '-' || substr(md5(CAST(c_custkey AS VARCHAR)), 9, 4) || '-4' || substr(md5(CAST(c_custkey AS VARCHAR)), 14, 3) || CASE c_custkey % 2 WHEN 0 THEN '-a' ELSE 'a' END || substr(md5(CAST(c_custkey AS VARCHAR)), 18, 3) || '-' || substr(md5(CAST(c_custkey AS VARCHAR)), 21, 12) FROM customer)"""
+
+
+@query("plain_formats", rf"""
+SELECT v, regexp_matches(v, '^[^@\s]+@[^@\s]+\.[^@\s]+$') AS email, regexp_matches(v, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$') AS uuid,
+  regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') AS iso8601, regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') AS date,
+  regexp_matches(translate(v, ' -', ''), '^\+?[1-9][0-9]{{6,14}}$') AS e164, length(v) = 2 AND regexp_matches(upper(v), '^[A-Z]{{2}}$') AS iso3166_alpha2,
+  regexp_matches(v, '^[A-Za-z0-9][A-Za-z0-9\s\-]{{2,9}}$') AS postal_code, regexp_matches(upper(v), '^[A-Z]{{6}}[A-Z0-9]{{2}}([A-Z0-9]{{3}})?$') AS bic FROM {_CONTACTS_SQL}""")
 def plain_formats(spark, sf_dir):
-    v = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("v")).union(_table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").cast("string")).distinct())
+    k, mod = F.col("c_custkey"), lambda n: F.col("c_custkey") % n
+    h = F.md5(k.cast("string"))
+    customer = _table(spark, sf_dir, "customer")
+    v = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("v")).union(_table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").cast("string")))
+    v = v.union(customer.select(F.concat(F.lit("c"), k.cast("string"), F.when(mod(3) == 0, "@mail.example").when(mod(3) == 1, "@mail").otherwise(" @mail.example"))))
+    v = v.union(customer.select(F.concat(F.when(mod(3) == 0, "+").when(mod(3) == 1, "+0").otherwise(""), (F.lit(4930000000) + k).cast("string"))))
+    v = v.union(customer.select(F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 14, 3), F.when(mod(2) == 0, "-a").otherwise("a"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12)))).distinct()
     return v.select("v", *[formats.fits(k, F.col("v")).alias(k) for k in ("email", "uuid", "iso8601", "date", "e164", "iso3166_alpha2", "postal_code", "bic")])
 
 

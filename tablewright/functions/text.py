@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 CURRENCIES = tuple(sorted("AED AUD BRL CAD CHF CLP CNY CZK DKK EUR GBP GHS HKD HUF IDR ILS INR JPY KES KRW MXN MYR NGN NOK NZD PHP PLN RON RUB SAR SEK SGD THB TRY USD ZAR".split()))
 WORD_BOOLEANS = ("true", "false", "yes", "no", "y", "n", "t", "f")
 
+#: Characters that are white space in Unicode.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 INTEGER = r"^[+-]?\d+$"
 POINT_NUMBER = r"^[+-]?(?:\d+\.\d*|\.\d+)$"
@@ -27,7 +29,7 @@ def matches(c: Column, pattern: str) -> Column:
 
 def stripped(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def value_or_null(c: Column) -> Column:

@@ -71,7 +71,7 @@ def all_flags(name: Column, mails: Column, ssn: Column, ips: Column) -> Column:
 def long_form(df: DataFrame, order_by: str | None = None) -> DataFrame:
     """(row, field, value): every cell as text, blank ones as null."""
     row = F.col(order_by).cast("long") if order_by else F.monotonically_increasing_id()
-    cells = [X.as_text(F.col(f"`{f.name}`"), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema)]
+    cells = [X.as_text(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema)]
     names = {f"c{i}": f.name for i, f in enumerate(df.schema)}
     wide = df.select(row.alias("row"), *cells)
     parts = ", ".join(f"{i}, c{i}" for i in range(len(names)))

@@ -115,12 +115,34 @@ class Engine:
         rows = [tuple(None if r.get(k) is None else str(r[k]) for k in names) for r in records]
         return self.profile(self.spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)), metadata)
 
+    def profile_csv(self, path: str, limit: int | None = None, **options: Any) -> Profile:
+        """Profile of a CSV file, whatever its ending; ``profile_json`` and ``profile_jsonl`` likewise."""
+        return self._profile_as("csv", path, limit, options)
+
+    def profile_json(self, path: str, limit: int | None = None, **options: Any) -> Profile:
+        return self._profile_as("json", path, limit, options)
+
+    def profile_jsonl(self, path: str, limit: int | None = None, **options: Any) -> Profile:
+        return self._profile_as("jsonl", path, limit, options)
+
+    def _profile_as(self, kind: str, path: str, limit: int | None, options: dict[str, Any]) -> Profile:
+        return self.profile(readers.reader_for(kind)(self.spark, path=path, **options), {"type": kind, "path": path, "format": kind, "entity": "default"}, limit)
+
+    #: Profilers of types of source that bring their own: function of (engine, settings).
+    profilers: dict[str, Any] = {}
+
+    @classmethod
+    def register_profiler(cls, kind: str, profiler) -> None:
+        cls.profilers[kind.strip().lower()] = profiler
+
     def profile_source(self, path: str, limit: int | None = None) -> Profile:
         kind = os.path.splitext(path)[1].lower().lstrip(".")
         return self.profile(readers.read_path(self.spark, path), {"type": kind, "path": path, "format": kind, "entity": "default"}, limit)
 
     def profile_source_config(self, path: str) -> Profile:
         source = readers.load_source(path)
+        if own := self.profilers.get(source["type"].strip().lower()):
+            return own(self, source)
         limit = int(source["sample_limit"]) if "sample_limit" in source else None
         return self.profile(readers.read_source(self.spark, source), {"type": source["type"], "path": source.get("path"), "entity": source.get("entity", "default")}, limit)
 
@@ -153,9 +175,10 @@ class Engine:
         return transform.coercion_errors(df, mapping, entity, include_review, row)
 
     def write_csv(self, df: DataFrame, path: str, single: bool = False) -> None:
-        """CSV with a header, nulls empty. ``single``: one file, for small results."""
-        out = df.select(*[F.when(F.col(f"`{f.name}`"), "True").when(~F.col(f"`{f.name}`"), "False").alias(f.name) if f.dataType.typeName() == "boolean" else F.col(f"`{f.name}`") for f in df.schema])
-        (out.coalesce(1) if single else out).write.mode("overwrite").csv(path, header=True, emptyValue="", nullValue="")
+        """CSV with a header, nulls empty, quotes doubled. ``single``: one file, for small results."""
+        own = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        out = df.select(*[F.when(own(f.name), "True").when(~own(f.name), "False").alias(f.name) if f.dataType.typeName() == "boolean" else own(f.name) for f in df.schema])
+        (out.coalesce(1) if single else out).write.mode("overwrite").csv(path, header=True, emptyValue="", nullValue="", escape='"')
 
     def drift(self, df: DataFrame, previous: Mapping, entity: Entity) -> drift.DriftReport:
         """What a new batch has otherwise than the mapping made for an earlier one."""

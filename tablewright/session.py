@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -26,3 +27,13 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         _SHIPPED.add(sc.applicationId)
     return spark
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that all executors share, ``spark.checkpoint.dir``; without one in a temporary folder of a local session."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/tablewright-{tag}-{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..session import ship
+from ..session import scratch, ship
 
 log = logging.getLogger(__name__)
 _WRAPPERS = ("records", "data", "items", "rows", "results")
@@ -56,25 +56,28 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, **opt
 
 
 def read_json(spark: SparkSession, path: str, **options: Any) -> DataFrame:
-    """A JSON document: an array of objects, an object that wraps one under a usual key, or one object. Columns come in the order
-    in which keys first appear."""
+    """JSON documents: an array of objects, an object that wraps one under a usual key, or one object. Elements that aren't objects
+    are left out. Columns come in the order in which keys first appear."""
     whole = spark.read.text(path, wholetext=True)
     kind = F.substring(F.trim(F.regexp_replace("value", r"^\s+", "")), 1, 1)
-    if whole.where(~kind.isin("[", "{")).limit(1).count():
+    if whole.where(~kind.isin("[", "{") | F.try_parse_json("value").isNull()).limit(1).count():
         raise SourceError(f"{path} isn't a JSON array or object")
-    df = spark.read.options(**options).json(path, multiLine=True, mode="FAILFAST")
-    arrays = [k for k in _WRAPPERS if k in df.columns and df.schema[k].dataType.typeName() == "array"]
-    objects = F.explode(F.from_json("value", "array<string>"))
-    rows = whole.where(kind == "[").select(objects.alias("o"))
-    if arrays:
-        k = arrays[0]
-        if df.schema[k].dataType.elementType.typeName() != "struct":
-            raise SourceError(f"{k} in {path} holds no objects")
-        rows = whole.select(F.explode(F.from_json(F.get_json_object("value", f"$.{k}"), "array<string>")).alias("o"))
-        df = df.select(F.explode(k).alias("r")).where("r IS NOT NULL").select("r.*")
-    else:
-        rows = rows.union(whole.where(kind == "{").select("value"))
-    return df.select(*[f"`{c}`" for c in _first_seen(rows, df.columns)])
+    wrapped = F.coalesce(*[F.when(F.substring(x := F.get_json_object("value", f"$.{k}"), 1, 1) == "[", x) for k in _WRAPPERS])
+    array = F.when(kind == "[", F.col("value")).otherwise(wrapped)
+    objects = F.when(array.isNotNull(), F.from_json(array, "array<string>")).otherwise(F.array("value"))
+    # objects one a line, which are read once for the schema and once for the rows
+    lines = scratch(spark, "json")
+    whole.select(F.explode(objects).alias("o")).where(F.json_object_keys("o").isNotNull()).select(F.regexp_replace("o", r"[\r\n]+", " ").alias("value")).write.text(lines)
+    return _objects(spark, spark.read.text(lines), lines, options)
+
+
+def _objects(spark: SparkSession, objects: DataFrame, path: str, options: dict[str, Any]) -> DataFrame:
+    """Objects, one a line (column value), as columns with the schema of the lines at a path."""
+    schema = spark.read.options(**options).json(path, mode="DROPMALFORMED").schema
+    if not schema.fields:
+        return objects.drop("value")
+    df = objects.select(F.from_json("value", schema).alias("r")).select("r.*")
+    return df.select(*["`" + c.replace("`", "``") + "`" for c in _first_seen(objects.select(F.col("value").alias("o")), df.columns)])
 
 
 def _first_seen(objects: DataFrame, names: list[str]) -> list[str]:
@@ -90,11 +93,7 @@ def read_jsonl(spark: SparkSession, path: str, **options: Any) -> DataFrame:
     if lines.where(F.try_parse_json("value").isNull()).limit(1).count():
         raise SourceError(f"{path} has a line that isn't JSON")
     objects = lines.where(F.json_object_keys("value").isNotNull())
-    schema = spark.read.options(**options).json(path, mode="DROPMALFORMED").schema
-    if not schema.fields:
-        return objects.drop("value")
-    df = objects.select(F.from_json("value", schema).alias("r")).select("r.*")
-    return df.select(*[f"`{c}`" for c in _first_seen(objects.select(F.col("value").alias("o")), df.columns)])
+    return _objects(spark, objects, path, options)
 
 
 class SqliteSource(DataSource):
@@ -237,6 +236,11 @@ READERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def register(kind: str, read: Callable[..., DataFrame]) -> None:
+    """Make ``read(spark, **settings)`` the reader of a type of source."""
+    READERS[kind.strip().lower()] = read
+
+
 def reader_for(kind: str) -> Callable[..., DataFrame]:
     try:
         return READERS[kind.strip().lower()]
@@ -299,3 +303,36 @@ def load_source(path: str) -> dict[str, Any]:
     for k in inline_secrets(source):
         log.warning("%s in %s looks like a secret; refer to the environment instead", k, path)
     return interpolated(source)
+
+
+class Connector:
+    """A configured source: whether it can be read, what it holds, and its rows."""
+
+    def __init__(self, spark: SparkSession, source: dict[str, Any]):
+        reader_for(source["type"])
+        self.spark, self.source = spark, source
+
+    def test_connection(self) -> bool:
+        """Whether the source answers with a row or none; what it raises is logged."""
+        try:
+            self.frame().limit(1).collect()
+        except Exception as error:
+            log.warning("no answer from a source of type %s: %s", self.source["type"], error)
+            return False
+        return True
+
+    def list_entities(self) -> list[str]:
+        """Tables of the source: those of a SQLite file, else the one that is configured."""
+        if self.source["type"] == "sqlite":
+            import sqlite3
+
+            with sqlite3.connect(f"file:{self.source['path']}?mode=ro", uri=True) as db:
+                return [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]
+        return [self.source.get("entity") or self.source.get("table") or "default"]
+
+    def get_metadata(self) -> dict[str, Any]:
+        """Type, path, entities and columns."""
+        return {"type": self.source["type"], "path": self.source.get("path"), "entity": self.source.get("entity", "default"), "entities": self.list_entities(), "columns": self.frame().columns}
+
+    def frame(self) -> DataFrame:
+        return read_source(self.spark, self.source)

@@ -201,3 +201,35 @@ def test_command_line_and_onboarding(spark, tmp_path, capsys):
     with pytest.raises(FileNotFoundError):
         onboarding.onboard_all(Engine(spark), str(tmp_path / "reports"))
     assert "one: 91" in capsys.readouterr().out
+
+
+def test_connectors_hooks_and_endings(spark, tmp_path):
+    path = tmp_path / "people.dat"
+    path.write_text('[{"b": 1, "a": "x"},\n {"a": "y"}, 3, null, "z", [1]]')
+    e = Engine(spark)
+    assert [(f.name, f.distinct_count) for f in e.profile_json(str(path)).fields] == [("b", 1), ("a", 2)]
+    (tmp_path / "rows.dat").write_text("n|m\n1|x\n2|y\n")
+    assert [f.name for f in e.profile_csv(str(tmp_path / "rows.dat")).fields] == ["n", "m"]
+    (tmp_path / "lines.dat").write_text('{"n": 1}\n\n[2]\n{"n": 3, "m": 4}\n')
+    assert e.profile_jsonl(str(tmp_path / "lines.dat")).row_count_sampled == 2
+    (tmp_path / "wrapped.json").write_text('{"total": 1, "items": [{"a": 1}, 7]}')
+    c = readers.Connector(spark, {"type": "json", "path": str(tmp_path / "wrapped.json")})
+    assert c.test_connection() and c.list_entities() == ["default"] and c.get_metadata()["columns"] == ["a"] and c.frame().count() == 1
+    assert not readers.Connector(spark, {"type": "csv", "path": str(tmp_path / "absent")}).test_connection()
+    with pytest.raises(readers.SourceError):
+        readers.Connector(spark, {"type": "none such"})
+    readers.register("Fixed", lambda spark, rows: spark.range(rows))
+    Engine.register_profiler("fixed", lambda engine, source: source["rows"])
+    try:
+        assert readers.read_source(spark, {"type": "fixed", "rows": 4}).count() == 4
+        (tmp_path / "s.yml").write_text("source: {type: fixed, rows: 5}\n")
+        assert e.profile_source_config(str(tmp_path / "s.yml")) == 5
+    finally:
+        del readers.READERS["fixed"], Engine.profilers["fixed"]
+
+
+def test_csv_sink_doubles_quotes(spark, tmp_path):
+    df = spark.createDataFrame([('say "a,b"', True, None), ("", None, 1)], "`t` string, b boolean, `n`` x` int")
+    Engine(spark).write_csv(df, str(tmp_path / "out"), single=True)
+    (file,) = (tmp_path / "out").glob("*.csv")
+    assert file.read_text() == 't,b,n` x\n"say ""a,b""",True,\n,,1\n'
