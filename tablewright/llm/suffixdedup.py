@@ -18,7 +18,8 @@ that overlap or touch are reported as one. The work is dealt so that equal passa
 
 Results for odd input: null ids, null texts and texts of fewer than ``span`` words have no rows; repeats within one
 document, or between rows that share an id, don't count, and spans of rows that share an id are reported together; an
-empty table gives no rows. Other columns aren't read.
+empty table gives no rows. Ids are whole numbers; others raise ValueError. A text is held whole by one task, up to 268 million
+words. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -227,6 +228,9 @@ def shared_windows(group: np.ndarray, texts: pa.Array, left: np.ndarray, low: np
 
 def repeated_passages(docs: DataFrame, span: int = 50, gram: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, first_word, end_word) of every passage of ``span`` words or more that another document holds too."""
+    kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError(f"ids are whole numbers here; column {id_col} is {kind}")
     src = docs.select(col(id_col).cast("long").alias("k"), col(text_col).cast("string").alias("x")).where("k IS NOT NULL AND x IS NOT NULL")
     reach = span - gram  # words before an n-gram that a window with it may hold
 

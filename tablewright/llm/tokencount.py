@@ -43,7 +43,10 @@ def normalised(text: F.Column) -> F.Column:
 def _cached(spark, path: str, tokenizer: str) -> DataFrame:
     try:
         cache = spark.read.schema(_CACHE).parquet(path)
-    except AnalysisException:  # no cache yet
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # no cache yet
         cache = spark.createDataFrame([], _CACHE)
     # runs that raced may have appended the same content twice
     return cache.where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))

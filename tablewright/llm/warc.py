@@ -16,6 +16,7 @@ empty. Other columns of the input aren't read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -196,13 +197,16 @@ def segment(record_id: str, uri: str | None, block: bytes, size: int) -> Iterato
 
 
 def page_records(pages: DataFrame, segment_bytes: int = 8192, chunk_bytes: int = 2048) -> DataFrame:
-    """(record): raw WARC records of a table of pages (page_id, url, html), segmented, bodies chunked. A null page is empty."""
+    """(record): raw WARC records of a table of pages (page_id, url, html), segmented, bodies chunked. A null page is empty; a
+    null id is replaced by a digest of address and page. Equal rows with one id are one page; different pages with one id conflict."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "html", 8 << 20):
                 out: list[bytes] = []
                 for i, url, html in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+                    if i is None:
+                        i = "null-" + hashlib.md5(f"{url}\0{html}".encode()).hexdigest()
                     out += segment(f"<urn:page:{i}>", url, http_message((html or "").encode(), chunk_bytes), segment_bytes)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 

@@ -104,3 +104,8 @@ def test_words_with_one_hash_are_told_apart():
     data = np.frombuffer(b"aa bb aa", np.uint8)
     s, e = np.array([0, 3, 6]), np.array([2, 5, 8])
     assert suffixdedup.word_numbers(np.array([7, 7, 7], np.uint64), data, s, e).tolist() == [0, 1, 0]
+
+
+def test_ids_are_whole_numbers(spark):
+    with pytest.raises(ValueError, match="whole numbers"):
+        suffixdedup.repeated_passages(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

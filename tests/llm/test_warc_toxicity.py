@@ -60,6 +60,13 @@ def test_dechunk(body, want):
     assert warc.dechunk(body) == want
 
 
+def test_pages_without_id_and_with_one_id(spark):
+    rows = [(None, "u", "one"), (None, "v", "two"), (None, None, None), (7, "u", "same"), (7, "u", "same"), (8, "u", "this"), (8, "u", "that")]
+    got = warc.reassemble(warc.page_records(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert sorted((r.payload or "") for r in got if "null-" in r.record_id) == ["", "one", "two"] and all(r.status == "ok" for r in got if "null-" in r.record_id)
+    assert sorted((r.record_id, r.status, r.payload) for r in got if "null-" not in r.record_id) == [("<urn:page:7>", "ok", "same"), ("<urn:page:8>", "conflict", None)]
+
+
 # toxicity
 
 
