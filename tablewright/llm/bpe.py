@@ -28,11 +28,13 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Blanks at which a text can't be cut: white space on both sides, or at the end behind other white space.
 ODD = re.compile(r"\s \s|\s \Z").search
 #: Entries of the piece and chunk caches of a partition at which they are emptied; results don't depend on it.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: A piece is contracted in runs of so many bytes.
 RUN = 64
 #: Bytes in a recursive query, and its rounds; what isn't at its end after those goes on in another.
 QUERY_BYTES, ROUNDS = 100_000, 64
+#: Pieces that are contracted before the next ones are looked at.
+PIECES = 10_000
 
 _CONTRACT_SQL = f"""
 WITH RECURSIVE s(i, g, t) AS (
@@ -114,38 +116,53 @@ class Codec:
         self.chunks: dict[str, int] = {}
         self.piece_table = self.chunk_table = _EMPTY
 
-    def _contract(self, words: list[np.ndarray]) -> list[np.ndarray]:
-        """Words of tokens, contracted until no pair of any can be merged."""
-        out, todo = list(words), [i for i, x in enumerate(words) if len(x) > 1]
-        while todo:
-            ends = np.cumsum([len(out[i]) for i in todo])
-            at, later = 0, []
-            while at < len(todo):
-                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + QUERY_BYTES, side="right")))
-                ids = todo[at:stop]
-                n = np.array([len(out[i]) for i in ids], np.int64)
-                w = np.repeat(np.arange(len(ids), dtype=np.int64), n)
-                p = np.arange(len(w), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
-                self.con.register("tokens_in", pa.table({"g": w << 32 | p, "t": np.concatenate([out[i] for i in ids])}))
-                got = self.con.sql(_CONTRACT_SQL).to_arrow_table()
-                self.con.unregister("tokens_in")
-                i, g, t = (got[c].to_numpy() for c in ("i", "g", "t"))
-                last = np.zeros(len(ids), i.dtype)
-                np.maximum.at(last, g >> 32, i)
-                k = i == last[g >> 32]  # what is left after a word's last contraction
-                g, t = g[k], t[k].astype(np.int32)
-                o = np.argsort(g)
-                for j, x in zip(ids, np.split(t[o], np.searchsorted(g[o] >> 32, np.arange(1, len(ids))))):
-                    out[j] = x
-                later += [ids[j] for j in np.flatnonzero(last == ROUNDS)]
-                at = stop
-            todo = later
-        return out
+    def _contract(self, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of tokens, one after another, and their sizes, contracted until no pair of any can be merged."""
+        ends = np.cumsum(size)
+        where, order, tokens, more = [], [], [], []
+        lo = 0
+        while lo < len(size):
+            base = ends[lo] - size[lo]
+            hi = max(lo + 1, int(np.searchsorted(ends, base + QUERY_BYTES, side="right")))
+            n = size[lo:hi]
+            w = np.repeat(np.arange(hi - lo, dtype=np.int64), n)
+            p = np.arange(len(w), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
+            self.con.register("tokens_in", pa.table({"g": w << 32 | p, "t": flat[base : ends[hi - 1]]}))
+            got = self.con.sql(_CONTRACT_SQL).to_arrow_table()
+            self.con.unregister("tokens_in")
+            i, g, t = (got[c].to_numpy() for c in ("i", "g", "t"))
+            w = g >> 32
+            last = np.zeros(hi - lo, i.dtype)
+            np.maximum.at(last, w, i)
+            k = i == last[w]  # what is left after a word's last contraction
+            where.append(lo + w[k]), order.append(g[k]), tokens.append(t[k].astype(np.int32))
+            more.append(lo + np.flatnonzero(last == ROUNDS))
+            lo = hi
+        if not where:
+            return flat, size
+        at, place, flat = map(np.concatenate, (where, order, tokens))
+        o = np.lexsort((place, at))
+        flat, size, more = flat[o], np.bincount(at, minlength=len(size)), np.concatenate(more)
+        if not len(more):
+            return flat, size
+        # the others are done; these go on from where they are
+        mine = np.isin(np.arange(len(size)), more)
+        part, n = self._contract(flat[np.repeat(mine, size)], size[more])
+        done, kept = flat[np.repeat(~mine, size)], size.copy()
+        kept[more] = n
+        out = np.empty(int(kept.sum()), np.int32)
+        of = np.repeat(mine, kept)
+        out[of], out[~of] = part, done
+        return out, kept
+
+    def _words(self, words: list[np.ndarray]) -> list[np.ndarray]:
+        flat, size = self._contract(np.concatenate(words) if words else self.byte_rank[:0], np.array([len(x) for x in words], np.int64))
+        return np.split(flat, np.cumsum(size)[:-1]) if words else []
 
     def _stand(self, pairs: set[tuple[int, int]]) -> None:
         """Learn of each pair of tokens whether they stay as they are next to each other."""
         fresh = [p for p in pairs if p not in self.stands]
-        words = self._contract([self.byte_rank[np.frombuffer(self.bytes_of[a] + self.bytes_of[b], np.uint8)] for a, b in fresh])
+        words = self._words([self.byte_rank[np.frombuffer(self.bytes_of[a] + self.bytes_of[b], np.uint8)] for a, b in fresh])
         self.stands.update((p, tuple(x.tolist()) == p) for p, x in zip(fresh, words))
 
     def _stitch(self, parts: list[list[np.ndarray]]) -> list[np.ndarray]:
@@ -166,7 +183,7 @@ class Codec:
             around = 2
             while todo:
                 raw = [np.concatenate([np.frombuffer(self.bytes_of[int(t)], np.uint8) for t in (*parts[i][j][-around:], *parts[i][j + 1][:around])]) for i, j in todo]
-                mid = self._contract([self.byte_rank[x] for x in raw])
+                mid = self._words([self.byte_rank[x] for x in raw])
                 ends = []
                 for (i, j), x in zip(todo, mid):
                     a, b = parts[i][j], parts[i][j + 1]
@@ -183,7 +200,11 @@ class Codec:
         return [p[0] for p in parts]
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat tokens of the pieces and their number by piece, by the recursive queries."""
+        """Flat tokens of the pieces and their number by piece, by the recursive queries, some pieces at a time."""
+        done = [self._encode_some(pieces[a : a + PIECES]) for a in range(0, len(pieces), PIECES)]
+        return (np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])) if done else (self.byte_rank[:0], np.zeros(0, np.int64))
+
+    def _encode_some(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.stands) > self.cache_entries:
             self.stands.clear()
         runs: dict[bytes, int] = {}
@@ -191,11 +212,18 @@ class Codec:
         for p in pieces:
             raw = p.encode()
             cut.append([runs.setdefault(raw[a : a + RUN], len(runs)) for a in range(0, len(raw), RUN)])
-        made = self._contract([self.byte_rank[np.frombuffer(r, np.uint8)] for r in runs])
-        long = [i for i, c in enumerate(cut) if len(c) > 1]
-        whole = dict(zip(long, self._stitch([[made[r] for r in cut[i]] for i in long])))
-        tokens = [whole[i] if i in whole else made[c[0]] for i, c in enumerate(cut)]
-        return np.concatenate(tokens) if tokens else self.byte_rank[:0], np.array([len(t) for t in tokens], np.int64)
+        data = np.frombuffer(b"".join(runs), np.uint8)
+        flat, size = self._contract(self.byte_rank[data], np.fromiter(map(len, runs), np.int64, len(runs)))
+        made = flat, np.cumsum(size) - size, size
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        if (n == 1).all():
+            return _gather(made, np.fromiter((c[0] for c in cut), np.int64, len(cut)))
+        long = np.flatnonzero(n > 1).tolist()
+        whole = self._stitch([[_gather(made, np.array([r]))[0] for r in cut[i]] for i in long])
+        made = _extend(made, np.concatenate(whole), np.array([len(x) for x in whole], np.int64))
+        ids = np.array([c[0] for c in cut], np.int64)
+        ids[long] = len(runs) + np.arange(len(long))
+        return _gather(made, ids)
 
     def _split(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
         """Pieces of chunks that each follow a blank, one after another, and their number by chunk. No chunk holds a
