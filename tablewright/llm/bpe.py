@@ -4,7 +4,7 @@ Encoding: pieces of the pre-tokeniser become token-position rows; a recursive qu
 merge table and contracts, in each word, the leftmost pair of least rank until no pair can be merged. A word is contracted in
 runs of 64 bytes, whose tokens are then joined: where two runs' tokens don't stand next to each other, those around the
 border are contracted anew. So text without a blank takes memory and time in proportion to its length. Decoding: an
-ordered aggregation joins the bytes of a document's tokens.
+ordered aggregation lists a document's tokens, whose bytes are joined.
 
 Results for odd input: a null text has null tokens and null decoded text, an empty text has an empty list and an empty
 string; a text may be of any length, with or without blanks. Repeated rows are kept, each with its own result. Other columns of the input aren't read.
@@ -13,12 +13,16 @@ string; a text may be of any length, with or without blanks. Repeated rows are k
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
+from operator import eq, methodcaller
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ._shared import byte_slices, col, tokenizer_file, trim_memory
@@ -27,7 +31,7 @@ from ._shared import byte_slices, col, tokenizer_file, trim_memory
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Blanks at which a text can't be cut: white space on both sides, or at the end behind other white space.
 ODD = re.compile(r"\s \s|\s \Z").search
-#: Entries of the piece and chunk caches of a partition at which they are emptied; results don't depend on it.
+#: Entries of a partition's chunk cache at which it is emptied, and half of those of its piece cache; results don't depend on it.
 CACHE_ENTRIES = 250_000
 #: A piece is contracted in runs of so many bytes.
 RUN = 64
@@ -35,6 +39,8 @@ RUN = 64
 QUERY_BYTES, ROUNDS = 100_000, 64
 #: Pieces that are contracted before the next ones are looked at.
 PIECES = 10_000
+#: Tokens in a decoding query; a text of more is put together from several.
+DECODE_TOKENS = 1_000_000
 
 _CONTRACT_SQL = f"""
 WITH RECURSIVE s(i, g, t) AS (
@@ -48,8 +54,7 @@ WITH RECURSIVE s(i, g, t) AS (
    FROM s JOIN least ON s.g >> 32 = least.w WHERE s.g <> least.ng)
 ) SELECT i, g, t FROM s"""
 
-_DECODE_SQL = """
-SELECT doc, string_agg(b, '' ORDER BY pos) AS s FROM doc_tokens JOIN vocab USING (t) GROUP BY doc"""
+_DECODE_SQL = "SELECT doc, list(t ORDER BY pos) AS t FROM doc_tokens GROUP BY doc"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -58,7 +63,31 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-#: Flat tokens, first place and number by entry.
+def merge_table(ranks: dict[bytes, int]) -> pa.Table:
+    """Tokens that can be merged, left and right, and what they become."""
+    left, right, new = [], [], []
+    for tok, i in ranks.items():
+        for k in range(1, len(tok)):
+            a, b = ranks.get(tok[:k]), ranks.get(tok[k:])
+            if a is not None and b is not None:
+                left.append(a), right.append(b), new.append(i)
+    return pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "n": pa.array(new, pa.int32())})
+
+
+@lru_cache(maxsize=1)
+def _vocabulary(path: str, changed: int, size: int) -> tuple[dict[bytes, int], pa.Table]:
+    """Ranks and merges of a file as it was at a time; a Python worker makes them once for all its partitions."""
+    ranks = load_ranks(path)
+    return ranks, merge_table(ranks)
+
+
+def load_vocabulary(path: str) -> tuple[dict[bytes, int], pa.Table]:
+    """Ranks and merges of a vocabulary file as it is now."""
+    at = os.stat(path)
+    return _vocabulary(path, at.st_mtime_ns, at.st_size)
+
+
+#: Flat tokens, or bytes of tokens; first place and number by entry.
 _Table = tuple[np.ndarray, np.ndarray, np.ndarray]
 _EMPTY: _Table = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -82,39 +111,33 @@ def _sums(size: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Codec:
     """Encoder and decoder of one partition. ``encode`` takes texts, ``decode`` a flat token array and lengths."""
 
-    def __init__(self, ranks: dict[bytes, int], cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, ranks: dict[bytes, int], cache_entries: int = CACHE_ENTRIES, merges: pa.Table | None = None):
         import duckdb
         import regex
 
-        left, right, new = [], [], []
-        for tok, i in ranks.items():
-            for k in range(1, len(tok)):
-                a, b = ranks.get(tok[:k]), ranks.get(tok[k:])
-                if a is not None and b is not None:
-                    left.append(a), right.append(b), new.append(i)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
-        int32 = pa.int32()
-        self._load("merges", {"l": pa.array(left, int32), "r": pa.array(right, int32), "n": pa.array(new, int32)})
-        # a byte is the character of the same number; NUL, which strings may not hold, is U+0100
-        shown = [t.decode("latin-1").replace("\0", "Ā") for t in ranks]
-        self._load("vocab", {"t": pa.array(list(ranks.values()), int32), "b": pa.array(shown)})
+        self.con.register("loading", merge_table(ranks) if merges is None else merges)
+        self.con.execute("CREATE TABLE merges AS SELECT * FROM loading")
+        self.con.unregister("loading")
         self.byte_rank = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.bytes_of = {i: t for t, i in ranks.items()}
+        size = np.zeros(max(ranks.values()) + 1, np.int64)
+        size[list(ranks.values())] = list(map(len, ranks))
+        self.byte_table = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(size))), np.uint8), np.cumsum(size) - size, size
         self.stands: dict[tuple[int, int], bool] = {}
         self.find = regex.compile(PATTERN).findall
         self.cache_entries = cache_entries
-        self._clear()
+        self._clear_chunks()
+        self._clear_pieces()
 
-    def _load(self, name: str, columns: dict) -> None:
-        self.con.register("loading", pa.table(columns))
-        self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM loading")
-        self.con.unregister("loading")
-
-    def _clear(self) -> None:
-        self.pieces: dict[str, int] = {}
+    def _clear_chunks(self) -> None:
         self.firsts: dict[str, int] = {}
         self.chunks: dict[str, int] = {}
-        self.piece_table = self.chunk_table = _EMPTY
+        self.chunk_table = _EMPTY
+
+    def _clear_pieces(self) -> None:
+        self.pieces: dict[str, int] = {}
+        self.piece_table = _EMPTY
 
     def _contract(self, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words of tokens, one after another, and their sizes, contracted until no pair of any can be merged."""
@@ -207,31 +230,32 @@ class Codec:
     def _encode_some(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.stands) > self.cache_entries:
             self.stands.clear()
+        words = [p.encode() for p in pieces]
         runs: dict[bytes, int] = {}
-        cut = []
-        for p in pieces:
-            raw = p.encode()
-            cut.append([runs.setdefault(raw[a : a + RUN], len(runs)) for a in range(0, len(raw), RUN)])
-        data = np.frombuffer(b"".join(runs), np.uint8)
-        flat, size = self._contract(self.byte_rank[data], np.fromiter(map(len, runs), np.int64, len(runs)))
+        long, cut = [], []
+        for i, raw in enumerate(words):
+            if len(raw) > RUN:
+                long.append(i), cut.append([runs.setdefault(raw[a : a + RUN], len(pieces) + len(runs)) for a in range(0, len(raw), RUN)])
+                words[i] = b""
+        words += runs
+        data = np.frombuffer(b"".join(words), np.uint8)
+        flat, size = self._contract(self.byte_rank[data], np.fromiter(map(len, words), np.int64, len(words)))
+        if not long:
+            return flat, size
         made = flat, np.cumsum(size) - size, size
-        n = np.fromiter(map(len, cut), np.int64, len(cut))
-        if (n == 1).all():
-            return _gather(made, np.fromiter((c[0] for c in cut), np.int64, len(cut)))
-        long = np.flatnonzero(n > 1).tolist()
-        whole = self._stitch([[_gather(made, np.array([r]))[0] for r in cut[i]] for i in long])
+        whole = self._stitch([[_gather(made, np.array([r]))[0] for r in c] for c in cut])
         made = _extend(made, np.concatenate(whole), np.array([len(x) for x in whole], np.int64))
-        ids = np.array([c[0] for c in cut], np.int64)
-        ids[long] = len(runs) + np.arange(len(long))
+        ids = np.arange(len(pieces))
+        ids[long] = len(words) + np.arange(len(long))
         return _gather(made, ids)
 
     def _split(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
         """Pieces of chunks that each follow a blank, one after another, and their number by chunk. No chunk holds a
         blank, so in one string of them all each piece with a blank begins a chunk; those with white space at an end
         are split by themselves."""
-        plain = np.fromiter((bool(c) and c == c.strip() for c in chunks), bool, len(chunks))
+        plain = np.fromiter(map(eq, chunks, map(str.strip, chunks)), bool, len(chunks)) & np.fromiter(map(bool, chunks), bool, len(chunks))
         joined = self.find("".join([" " + c for c, k in zip(chunks, plain) if k]))
-        begins = np.flatnonzero(np.fromiter((p[0] == " " for p in joined), bool, len(joined)))
+        begins = np.flatnonzero(np.fromiter(map(methodcaller("startswith", " "), joined), bool, len(joined)))
         n = np.zeros(len(chunks), np.int64)
         n[plain] = np.diff(np.append(begins, len(joined)))
         if plain.all():
@@ -265,34 +289,43 @@ class Codec:
         """Flat tokens and their number by text. A text is cut at single blanks, where no piece can cross; texts with
         runs of white space that a cut would divide are split as a whole."""
         if len(self.firsts) + len(self.chunks) > self.cache_entries:
-            self._clear()
-        cut: list[list[str]] = []
-        whole: list[bool] = []
-        for x in texts:
-            c = x.split(" ") if x else []
-            odd = bool(c) and ODD(x) is not None
-            whole.append(odd)
-            cut.append([x] if odd else c)
-        firsts = [c for c in dict.fromkeys(c[0] for c in cut if c) if c not in self.firsts]
-        rest = [c for c in dict.fromkeys(chain.from_iterable(c[1:] for c in cut)) if c not in self.chunks]
-        if firsts or rest:
-            self._learn(firsts, rest)
-        n = np.array([len(c) for c in cut], np.int64)
-        first, get = self.firsts.__getitem__, self.chunks.__getitem__
-        ids = np.fromiter(chain.from_iterable(chain((first(c[0]),), map(get, c[1:])) for c in cut if c), np.int64, int(n.sum()))
+            self._clear_chunks()
+        if len(self.pieces) > 2 * self.cache_entries:
+            self._clear_pieces()
+        odd = np.array([bool(x) and ODD(x) is not None for x in texts], bool)
+        cut = pc.split_pattern(pa.array([None if k else x or None for x, k in zip(texts, odd)], pa.string()), " ")
+        n = pc.fill_null(pc.list_value_length(cut), 0).to_numpy().astype(np.int64)
+        n[odd] = 1
+        begins = np.zeros(int(n.sum()), bool)
+        begins[(np.cumsum(n) - n)[n > 0]] = True
+        heads = [x if k else x.partition(" ")[0] for x, k in zip(texts, odd) if x]
+        tails = cut.flatten().filter(pa.array(~np.delete(begins, (np.cumsum(n) - n)[odd]))).dictionary_encode()
+        rest = tails.dictionary.to_numpy(zero_copy_only=False).tolist()
+        firsts = [c for c in dict.fromkeys(heads) if c not in self.firsts]
+        fresh = [c for c in rest if c not in self.chunks]
+        if firsts or fresh:
+            self._learn(firsts, fresh)
+        ids = np.empty(len(begins), np.int64)
+        ids[begins] = np.fromiter(map(self.firsts.__getitem__, heads), np.int64, len(heads))
+        ids[~begins] = np.fromiter(map(self.chunks.__getitem__, rest), np.int64, len(rest))[tails.indices.to_numpy()]
         flat, size = _gather(self.chunk_table, ids)
         return flat, _sums(size, n)
 
     def decode(self, flat: np.ndarray, count: np.ndarray) -> list[str]:
         """Texts of token lists that lie one after another."""
-        out = [""] * len(count)
+        parts: list[list[bytes]] = [[] for _ in count]
         doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
-        self.con.register("doc_tokens", pa.table({"doc": doc, "pos": np.arange(len(flat), dtype=np.int32), "t": flat}))
-        got = self.con.sql(_DECODE_SQL).to_arrow_table()
-        self.con.unregister("doc_tokens")
-        for i, s in zip(got["doc"].to_pylist(), got["s"].to_pylist()):
-            out[i] = s.encode("latin-1").decode("utf-8", "replace") if "Ā" not in s else s.replace("Ā", "\0").encode("latin-1").decode("utf-8", "replace")
-        return out
+        for lo in range(0, len(flat), DECODE_TOKENS):
+            t = flat[lo : lo + DECODE_TOKENS]
+            self.con.register("doc_tokens", pa.table({"doc": doc[lo : lo + len(t)], "pos": np.arange(len(t), dtype=np.int32), "t": t}))
+            got = self.con.sql(_DECODE_SQL).to_arrow_table()
+            self.con.unregister("doc_tokens")
+            for part in got.to_batches():
+                data, size = _gather(self.byte_table, part["t"].flatten().to_numpy())
+                ends = np.cumsum(_sums(size, pc.list_value_length(part["t"]).to_numpy()))
+                for i, x in zip(part["doc"].to_pylist(), np.split(data, ends[:-1])):
+                    parts[i].append(x.tobytes())
+        return [b"".join(x).decode("utf-8", "replace") for x in parts]
 
 
 def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,7 +338,9 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_col: str =
         trim_memory()
         for batch in batches:
             for part in byte_slices(batch, "x", 2 << 20):
-                codec = codec or Codec(load_ranks(path))
+                if codec is None:
+                    ranks, merges = load_vocabulary(path)
+                    codec = Codec(ranks, merges=merges)
                 texts = part.column("x").to_pylist()
                 flat, count = codec.encode(texts)
                 decoded = codec.decode(flat, count)

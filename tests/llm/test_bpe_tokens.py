@@ -47,6 +47,40 @@ def test_caches_do_not_change_results():
                 assert np.array_equal(a, b)
 
 
+def test_pieces_outlast_chunks(monkeypatch):
+    """Chunks that differ and are made of the same few pieces need no recursive query more when the chunk cache was emptied."""
+    codec, asked, e = bpe.Codec(RANKS, cache_entries=20), [], encoding()
+    own = codec.encode_pieces
+    monkeypatch.setattr(codec, "encode_pieces", lambda pieces: asked.extend(pieces) or own(pieces))
+    for sign in (".", ",", "!", "?") * 2:
+        text = " ".join(f"word{sign}{n}" for n in range(30))
+        flat, n = codec.encode([text])
+        assert flat.tolist() == e.encode_ordinary(text) and codec.decode(flat, n) == [text]
+    assert len(asked) == len(set(asked))
+
+
+def test_texts_are_decoded_in_parts(monkeypatch):
+    monkeypatch.setattr(bpe, "DECODE_TOKENS", 997)
+    codec, texts = bpe.Codec(RANKS), odd_texts()
+    assert codec.decode(*codec.encode(texts)) == texts
+
+
+def test_a_vocabulary_is_prepared_once(tmp_path):
+    """One worker's partitions share the merge table, unless the file has changed."""
+    path = tmp_path / "ranks"
+    lines = [base64.b64encode(bytes([i])) + b" %d\n" % i for i in range(256)]
+    path.write_bytes(b"".join(lines))
+    ranks, merges = bpe.load_vocabulary(str(path))
+    assert bpe.load_vocabulary(str(path))[1] is merges and len(ranks) == 256 and merges.num_rows == 0
+    path.write_bytes(b"".join(lines) + base64.b64encode(b"ab") + b" 300\n")
+    ranks, merges = bpe.load_vocabulary(str(path))
+    assert merges.to_pylist() == [{"l": 97, "r": 98, "n": 300}]
+    # a rank that no token has is no gap for decoding
+    flat, n = bpe.Codec(ranks, merges=merges).encode(["abc", None, "\0ab"])
+    assert flat.tolist() == [300, 99, 0, 300] and n.tolist() == [2, 0, 2]
+    assert bpe.Codec(ranks, merges=merges).decode(flat, n) == ["abc", "", "\0ab"]
+
+
 def test_empty_table(spark):
     assert bpe.encode_decode(spark.createDataFrame([], SCHEMA)).count() == 0
 
