@@ -24,6 +24,7 @@ words. Other columns aren't read.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,13 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textvec
-from ._shared import byte_slices, col, written
+from ._shared import byte_slices, col, trim_memory, written
 
 _U = np.uint64
 #: Bits of an n-gram's hash that choose it; the others break ties by place.
 _PLACE_BITS = 28
-#: Surroundings that are sorted together.
-_BATCH = 60_000
+#: Bytes of surroundings that are sorted together; numpy takes some twenty times as much meanwhile.
+_BATCH = 3 << 20
+#: Bytes of text that are cut in words together.
+_STEP = 512 << 10
 
 
 def anchors(h: np.ndarray, row: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +69,15 @@ def anchors(h: np.ndarray, row: np.ndarray, span: int, gram: int) -> tuple[np.nd
     return at, g[at]
 
 
+def _runs(size: np.ndarray, most: int = 500_000) -> Iterator[slice]:
+    """Cut in slices of about ``most`` in all (one element at least)."""
+    total, at = np.cumsum(size), 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, stop)
+        at = stop
+
+
 class Words:
     """Numbered words in a row with prefix polynomial hashes."""
 
@@ -101,8 +113,7 @@ class Words:
 
     def verified(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bool:
         """Whether n words from a and b are equal by number."""
-        for at in range(0, len(a), 100_000):
-            s = slice(at, at + 100_000)
+        for s in _runs(n):
             size = n[s]
             step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             if not np.array_equal(self.ids[np.repeat(a[s], size) + step], self.ids[np.repeat(b[s], size) + step]):
@@ -173,10 +184,10 @@ def word_numbers(h: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray)
     lead = first[number]
     ok = size == size[lead]
     if ok.all():
-        for at in range(0, len(h), 200_000):
-            n = size[at : at + 200_000]
+        for run in _runs(size):
+            n = size[run]
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            if not np.array_equal(data[np.repeat(s[at : at + 200_000], n) + step], data[np.repeat(s[lead[at : at + 200_000]], n) + step]):
+            if not np.array_equal(data[np.repeat(s[run], n) + step], data[np.repeat(s[lead[run]], n) + step]):
                 ok[0] = False
                 break
     if not ok.all():  # two words with one hash
@@ -190,11 +201,12 @@ def shared_windows(group: np.ndarray, texts: pa.Array, left: np.ndarray, low: np
 
     group: number of the n-gram, ascending; texts: surroundings; left: words before the n-gram; low and high: least and
     greatest id among the documents that hold them."""
-    h, row, s, e = textvec.words(texts, textvec.RAW)
+    h, row, s, e = textvec.words(texts, textvec.RAW, _STEP)
     data, off = textvec.buffers(texts)
     ids = word_numbers(h, data, s + off[row], e + off[row])
     n = len(texts)
     begin = np.searchsorted(row, np.arange(n + 1))
+    del h, row, s, e, data, off
     start, right = begin[:-1] + left, begin[1:] - begin[:-1] - left
     total = len(ids)
     both = []
@@ -226,6 +238,49 @@ def shared_windows(group: np.ndarray, texts: pa.Array, left: np.ndarray, low: np
     return out
 
 
+def repeated_windows(batches: Iterable[pa.RecordBatch], span: int, most: int = _BATCH) -> Iterator[pa.RecordBatch]:
+    """(k, first_word, end_word) of the windows that two documents hold, from surroundings (g, t, l, ks, at) in order of g.
+
+    N-grams are sorted together until they have ``most`` bytes: memory goes with that or with the largest n-gram, not with the task."""
+    held: dict[tuple[int, bytes], list] = {}
+    last, size = None, 0
+    for batch in batches:
+        for part in byte_slices(batch, "t", most):
+            for g, t, l, ks, at in zip(*(part.column(c).to_pylist() for c in ("g", "t", "l", "ks", "at"))):
+                if g != last and size >= most:
+                    yield from _found(held, span)
+                    held, size = {}, 0
+                last = g
+                got = held.get((g, t))
+                if got is None:
+                    held[g, t] = [l, array("q", ks), array("q", at)]
+                    size += len(t)
+                else:
+                    got[1].extend(ks)
+                    got[2].extend(at)
+                size += 16 * len(ks)
+    yield from _found(held, span)
+
+
+def _found(held: dict[tuple[int, bytes], list], span: int) -> Iterator[pa.RecordBatch]:
+    if not held:
+        return
+    gs = np.array([v for v, _ in held], np.int64)
+    group = np.cumsum(np.append(0, gs[1:] != gs[:-1]))
+    values = list(held.values())
+    left = np.array([v[0] for v in values], np.int64)
+    low, high = (np.array([f(v[1]) for v in values], np.int64) for f in (min, max))
+    ids, first, end = [], [], []
+    for i, l0, l1 in shared_windows(group, pa.array([t for _, t in held], pa.binary()), left, low, high, span):
+        _, ks, at = values[i]
+        ids.append(np.array(ks, np.int64))
+        a = np.array(at, np.int64)
+        first.append(a - l1)
+        end.append(a - l0 + span)
+    if ids:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (ids, first, end)], ["k", "first_word", "end_word"])
+
+
 def repeated_passages(docs: DataFrame, span: int = 50, gram: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, first_word, end_word) of every passage of ``span`` words or more that another document holds too."""
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
@@ -235,9 +290,10 @@ def repeated_passages(docs: DataFrame, span: int = 50, gram: int = 10, id_col: s
     reach = span - gram  # words before an n-gram that a window with it may hold
 
     def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_memory()
         for batch in batches:
             for part in byte_slices(batch, "x"):
-                h, row, _, _ = textvec.words(part.column("x"), textvec.RAW)
+                h, row, _, _ = textvec.words(part.column("x"), textvec.RAW, _STEP)
                 at, g = anchors(h, row, span, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), part.column("k").take(pa.array(row[at]))], ["g", "k"])
 
@@ -246,10 +302,11 @@ def repeated_passages(docs: DataFrame, span: int = 50, gram: int = 10, id_col: s
     wanted = chosen.join(often, "g").groupBy("k").agg(F.collect_list("g").alias("gs"))
 
     def surround(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_memory()
         for batch in batches:
             for part in byte_slices(batch, "x"):
                 x = part.column("x")
-                h, row, s, e = textvec.words(x, textvec.RAW)
+                h, row, s, e = textvec.words(x, textvec.RAW, _STEP)
                 data, off = textvec.buffers(x)
                 raw = memoryview(data.tobytes())
                 at, g = anchors(h, row, span, gram)
@@ -280,41 +337,9 @@ def repeated_passages(docs: DataFrame, span: int = 50, gram: int = 10, id_col: s
     met = src.join(wanted, "k").mapInArrow(surround, "g long, t binary, l int, ks array<long>, at array<int>").repartition("g").sortWithinPartitions("g")
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], list] = {}
-        last = None
-        for batch in batches:
-            rows = (batch.column(c) for c in ("g", "t", "l", "ks", "at"))
-            g, t, l, ks, at = (c.to_pylist() for c in rows)
-            for i in range(len(g)):
-                if g[i] != last and len(held) >= _BATCH:
-                    yield from found(held)
-                    held = {}
-                last = g[i]
-                got = held.get((g[i], t[i]))
-                if got is None:
-                    held[g[i], t[i]] = [l[i], ks[i], at[i]]
-                else:
-                    got[1].extend(ks[i])
-                    got[2].extend(at[i])
-        yield from found(held)
-
-    def found(held: dict) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        gs = np.array([v for v, _ in held], np.int64)
-        group = np.cumsum(np.append(0, gs[1:] != gs[:-1]))
-        values = list(held.values())
-        left = np.array([v[0] for v in values], np.int64)
-        low, high = (np.array([f(v[1]) for v in values], np.int64) for f in (min, max))
-        ids, first, end = [], [], []
-        for i, l0, l1 in shared_windows(group, pa.array([t for _, t in held], pa.binary()), left, low, high, span):
-            _, ks, at = values[i]
-            ids.append(np.array(ks, np.int64))
-            a = np.array(at, np.int64)
-            first.append(a - l1)
-            end.append(a - l0 + span)
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (ids, first, end)], ["k", "first_word", "end_word"])
+        trim_memory()
+        yield from repeated_windows(batches, span)
+        trim_memory()
 
     spans = met.mapInArrow(join, "k long, first_word long, end_word long")
     order = Window.partitionBy("k").orderBy("first_word", "end_word")

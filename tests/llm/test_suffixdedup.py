@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -109,3 +110,25 @@ def test_words_with_one_hash_are_told_apart():
 def test_ids_are_whole_numbers(spark):
     with pytest.raises(ValueError, match="whole numbers"):
         suffixdedup.repeated_passages(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_join_memory_does_not_go_with_the_task():
+    """Surroundings of 14 MB under 10,000 n-grams, of two documents each, that differ in their first word."""
+    rng = np.random.default_rng(3)
+    n = 10_000
+    texts = []
+    for w in rng.integers(10_000, 99_999, (n, 89)):
+        tail = b" ".join(b"w%d" % x for x in w[1:])
+        texts += [b"first %s" % tail, b"other %s" % tail]
+    ids = [[k] for k in range(2 * n)]
+    rows = pa.RecordBatch.from_arrays([
+        pa.array(np.repeat(np.arange(n), 2)), pa.array(texts, pa.binary()), pa.array([40] * 2 * n, pa.int32()),
+        pa.array(ids, pa.list_(pa.int64())), pa.array([[40]] * 2 * n, pa.list_(pa.int32()))], ["g", "t", "l", "ks", "at"])
+    tracemalloc.start()
+    try:
+        got = [r for b in suffixdedup.repeated_windows([rows.slice(at, 2000) for at in range(0, 2 * n, 2000)], 50) for r in zip(*b.to_pydict().values())]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(got) == [(k, 1, 89) for k in range(2 * n)]
+    assert peak < 120e6
