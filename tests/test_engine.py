@@ -69,6 +69,30 @@ def test_profile_does_not_depend_on_partitions(spark):
     assert profile.profile(df.limit(0)).select("inferred_type").distinct().collect()[0][0] == "unknown"
 
 
+def test_profile_reads_its_table_once(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id % 3 AS few", "CAST(id AS string) AS t").write.parquet(str(tmp_path / "t"))
+    p = profile.profile(spark.read.parquet(str(tmp_path / "t"))).drop("sample_values")
+    assert p._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert [(r.distinct_count, r.enum_candidates) for r in p.orderBy("position").collect()] == [(100, None), (3, ["0", "1", "2"]), (100, None)]
+
+
+def test_profile_tells_values_apart_by_their_texts(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.sql("""SELECT * FROM VALUES
+        (-0.0D, timestamp'2024-11-03 05:30:00', date'2024-01-05', 9223372036854775807L, ' '), (0.0D, timestamp'2024-11-03 06:30:00', date'2024-01-05', 9223372036854775806L, ''),
+        (CAST('NaN' AS double), timestamp'2024-11-03 07:30:00', date'9999-12-31', 9223372036854775806L, 'x '), (2.5e7D, NULL, NULL, NULL, 'x') AS t(real, time, day, whole, text)""")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # where clocks showed 1:30 twice
+        by = {r.field: r for r in profile.profile(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {k: (r.null_count, r.distinct_count, r.inferred_type) for k, r in by.items()} == {"real": (0, 4, "decimal"), "time": (1, 2, "timestamp"), "day": (1, 2, "date"), "whole": (1, 2, "integer"), "text": (2, 2, "string")}
+    assert (by["real"].sample_values, by["day"].sum_len, by["text"].sum_len) == (["-0.0", "0.0", "NaN", "25000000.0"], 30, 3)
+    many = spark.range(2100).selectExpr("id % 20 AS twenty", "id % 21 AS more", "IF(id % 20 < 9, CAST(id % 20 AS string), repeat('x', CAST(id % 20 AS int))) AS mixed")
+    enums = [r.enum_candidates for r in profile.profile(many).orderBy("position").collect()]
+    assert enums == [sorted(map(str, range(20))), None, sorted([*map(str, range(9)), *("x" * i for i in range(9, 20))])]
+
+
 def person(spark):
     return spark.createDataFrame(ROWS, ", ".join(f"{c} string" for c in COLUMNS)), S.entity_from(PERSON)
 
